@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 #: Separator bytes of the word and line contracts: space and \t \n \v \f \r.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
+_SHIPPED: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -65,6 +67,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once a session, so executors needn't have it installed."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="verdigris-zip-"), "verdigris.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("verdigris", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED["app"] = sc.applicationId
+
+
+def small_batches(spark: SparkSession, rows: int = 500, mb: int = 16) -> None:
+    """Bounds what an Arrow batch of whole texts holds in a Python worker."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 

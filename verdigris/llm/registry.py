@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, simhash, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_url_filter": url_filter.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_line_dedup": line_dedup.OP4_SQL,
 }
