@@ -44,7 +44,11 @@ def keyed_state(rows_path: str, schema, spark: SparkSession, files_per_batch: in
     state = reader.parquet(rows_path).groupBy("digest").agg(
         F.min("id").alias("keep_id"), F.min_by("locator", "id").alias("locator"), F.count("*").alias("n"),
     )
-    held = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    rocksdb = "spark.sql.streaming.stateStore.rocksdb"
+    held = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        f"{rocksdb}.allowFAllocate": "false", f"{rocksdb}.changelogCheckpointing.enabled": "true",  # many small stores: no space set aside
+    }
     old = {k: spark.conf.get(k, None) for k in held}
     try:
         for k, v in held.items():
