@@ -33,7 +33,7 @@ def sha256(text: Column) -> Column:
 
 
 def keyed_state(rows_path: str, schema, spark: SparkSession, files_per_batch: int | None = None) -> DataFrame:
-    """Streams the (digest, id, locator) files at rows_path through the keyed state and returns (digest, keep_id, locator, n).
+    """Streams the (digest, id, locator, ...) files at rows_path through the keyed state and returns (digest, keep_id, locator, n).
 
     Each micro-batch emits the keys it changed; ids only fall and counts only rise, so the latest value of a key is its
     smallest id and largest count."""
@@ -71,10 +71,11 @@ def keyed_state(rows_path: str, schema, spark: SparkSession, files_per_batch: in
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_digest."""
+    """One row per input row: id, text_hash (of the text as it is), keep_id, group_size, kept, text_digest."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), digest(normalized(F.col(text_col))).alias("digest"), F.input_file_name().alias("locator"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
     )
     path = scratch(spark, "dedup-rows")
     rows.write.parquet(path)
@@ -87,21 +88,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = hits.select("digest", "keep_id", "n")
         out = rows.join(found, "digest", "left")
         return out.select(
-            "id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+            "id", "text_hash", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
             F.col("id").eqNullSafe(F.coalesce("keep_id", "id")).alias("kept"), F.col("digest").alias("text_digest"),
         )
     # Different texts share a digest: those rows are grouped by their whole text, the keeper's group shrinks by them.
     regroup = differ.groupBy("digest", "text").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
-    moved = differ.join(regroup, ["digest", "text"]).select("id", "digest", "keep_id", F.col("n").alias("group_size"))
+    moved = differ.join(regroup, ["digest", "text"]).select("id", "text_hash", "digest", "keep_id", F.col("n").alias("group_size"))
     moved = materialize(moved, "dedup-moved")
     gone = moved.groupBy("digest").agg(F.count("*").alias("gone"))
     stay = (
         rows.join(hits.select("digest", "keep_id", "n"), "digest", "left").join(gone, "digest", "left")
-        .join(moved.select("id", "digest").distinct(), ["id", "digest"], "left_anti")
-        .select("id", "digest", F.coalesce("keep_id", "id").alias("keep_id"), (F.coalesce("n", F.lit(1)) - F.coalesce("gone", F.lit(0))).cast("long").alias("group_size"))
+        .join(moved.select("id", "digest", "text_hash").distinct(), ["id", "digest", "text_hash"], "left_anti")
+        .select("id", "text_hash", "digest", F.coalesce("keep_id", "id").alias("keep_id"), (F.coalesce("n", F.lit(1)) - F.coalesce("gone", F.lit(0))).cast("long").alias("group_size"))
     )
-    both = stay.unionByName(moved.select("id", "digest", "keep_id", "group_size"))
-    return both.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_digest"))
+    both = stay.unionByName(moved.select("id", "text_hash", "digest", "keep_id", "group_size"))
+    return both.select("id", "text_hash", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_digest"))
 
 
 def _differing(docs: DataFrame, members: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
@@ -111,10 +112,10 @@ def _differing(docs: DataFrame, members: DataFrame, hits: DataFrame, id_col: str
         ids = F.broadcast(ids)
     norm = normalized(F.col(text_col))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col), F.input_file_name().alias("_file")).join(ids, "_id", "left_semi")
-    texts = texts.select("_id", "_file", norm.alias("text")).withColumn("digest", digest(F.col("text")))
+    texts = texts.select("_id", "_file", F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), norm.alias("text")).withColumn("digest", digest(F.col("text")))
     keepers = texts.join(hits.select("digest", F.col("keep_id").alias("_id"), F.col("locator").alias("_file")).hint("shuffle_merge"), ["digest", "_id", "_file"]).groupBy("digest").agg(F.min("text").alias("kept_text"))
     compared = texts.join(keepers.hint("shuffle_merge"), "digest").where("text <> kept_text")
-    return materialize(compared.select(F.col("_id").alias("id"), "digest", "text"), "dedup-differ")
+    return materialize(compared.select(F.col("_id").alias("id"), "text_hash", "digest", "text"), "dedup-differ")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, exact_dedup, language, line_dedup, packing, simhash, toxicity, url_filter
+from . import bpe, embeddings, exact_dedup, language, line_dedup, packing, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,

@@ -59,16 +59,18 @@ def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(id, text_hash, fp): fp is the fingerprint's 64 bits as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()) if not pa.types.is_null(batch.column(1).type) else batch.column(1)
+            texts = batch.column(2).cast(pa.binary())
             found = np.array([text_fingerprint(t.as_py(), shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found)], names=["id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "id long, text_hash long, fp long")
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -147,12 +149,12 @@ def links(reps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row per input row: id, fp, component (the smallest id reachable over links)."""
+    """One row per input row: id, text_hash, fp, component (the smallest id reachable over links)."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
     found = components(links(reps.where("rep IS NOT NULL")))
     named = reps.join(found, reps["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, "fp").select("id", "fp", "component")
+    return fps.join(named, "fp").select("id", "text_hash", "fp", "component")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
