@@ -67,9 +67,12 @@ class Codec:
             self.tokens[t["id"]] = t["content"].encode()
         self.base = len(self.tokens)
         self.symbols = np.array([vocab[c] for c in letters], dtype=np.int64)
+        ending = spec["model"].get("end_of_word_suffix") or ""
+        self.last_symbols = np.array([vocab[c + ending] for c in letters], dtype=np.int64)
+        self.ending = len(ending)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] * self.base + vocab[b] for a, b in merges], dtype=np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
+        self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)  # a word's end is part of b
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
         self.added = {t["content"]: np.uint32(t["id"]).tobytes() for t in spec["added_tokens"]}
@@ -106,6 +109,8 @@ class Codec:
         flat = np.frombuffer(b"".join(words[i] for i in rows.tolist()), np.uint8)
         symbol = np.full((count, width), -1, np.int64)
         symbol[np.arange(width) < sizes[:, None]] = self.symbols[flat]
+        if self.ending:
+            symbol[col, sizes - 1] = self.last_symbols[flat[np.cumsum(sizes) - 1]]
         symbol = np.ascontiguousarray(symbol.T)
         after = np.where(place + 1 < sizes, place + 1, width)
         before = np.broadcast_to(place - 1, (width, count)).copy()

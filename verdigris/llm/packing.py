@@ -13,6 +13,7 @@ rows are packed each; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import KEPT, default_path, model_bytes
+from .bpe import KEPT, Codec, default_path, model_bytes
 from .common import materialize, read_table, small_batches
 
 CAPACITY, END = 4096, 1
@@ -32,8 +33,15 @@ FILLINGS, BRANCHES = 400, 20_000
 GROUP = 200_000
 
 
+#: The pattern that this kind of tokenizer splits normalised text with.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Words:
-    """Ids of white-space separated chunks, which this kind of vocabulary encodes one by one; remembered like bpe's."""
+    """Ids of white-space separated chunks, which this kind of vocabulary encodes one by one; remembered like bpe's.
+
+    New chunks of plain Latin letters (whose normal form is themselves) are merged by bpe's segment trees; all others, and texts
+    with control characters that count as white space here but not there, go through the library."""
 
     def __init__(self, model: bytes):
         import os
@@ -46,28 +54,46 @@ class Words:
         self.tokenizer = Tokenizer.from_str(model.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.odd = regex.compile(r"[\x1c-\x1f]")
+        self.codec = Codec(model)
+        self.split = regex.compile(PATTERN).findall
+        self.plain = re.compile("[!-;=-~\u00c0-\u012f\u0131-\u017f]+").fullmatch  # without <, which starts special tokens
+        self.odd = re.compile("[\x1c-\x1f]").search
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def known(self, chunk: str) -> bytes | None:
+        ids = self.young.get(chunk)
+        if ids is None:
+            ids = self.old.get(chunk)
+            if ids is not None:
+                self.young[chunk] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.odd.search(t) else t.split() for t in texts]
-        found, missing = {}, []
+        cut = [None if self.odd(t) else t.split() for t in texts]
+        found, fast, slow = {}, [], []
         for c in set().union(*[x for x in cut if x]):
-            ids = self.young.get(c)
-            if ids is None:
-                ids = self.old.get(c)
-                if ids is None:
-                    missing.append(c)
-                    continue
-                self.young[c] = ids
-            found[c] = ids
-        fresh = dict(zip(missing, self.whole(missing), strict=True))
-        found |= fresh
-        self.young |= fresh
+            ids = self.known(c)
+            if ids is not None:
+                found[c] = ids
+            elif self.plain(c):
+                fast.append(c)
+            else:
+                slow.append(c)
+        found.update(zip(slow, self.whole(slow), strict=True))
+        parts = [self.split(c.lower()) for c in fast]
+        tokens = {}
+        for p in {p for ps in parts for p in ps}:
+            tokens[p] = self.known(p)
+        fresh = [p for p, ids in tokens.items() if ids is None]
+        tokens.update(zip(fresh, self.codec.merge([p.encode() for p in fresh]), strict=True))
+        for c, ps in zip(fast, parts, strict=True):
+            found[c] = tokens[ps[0]] if len(ps) == 1 else b"".join([tokens[p] for p in ps])
+        self.young.update(tokens)
+        self.young.update(found)
         if len(self.young) > KEPT:
             self.old, self.young = self.young, {}
         return [self.whole([t])[0] if c is None else b"".join(map(found.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
