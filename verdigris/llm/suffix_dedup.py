@@ -36,7 +36,7 @@ from .common import materialize, read_table, small_batches
 
 LENGTH, GRAM = 100, 32
 SEGMENT = 1 << 18
-COLLECTION, SHARD, HOT = 1 << 19, 1 << 16, 1 << 22
+COLLECTION, SHARD, HOT = 1 << 16, 1 << 14, 1 << 22
 BROADCAST_IDS = 2_000_000
 LAST = (1 << 63) - 1
 
@@ -188,7 +188,7 @@ def shard_transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
         key = (key << np.uint64(9)) | part
     known = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(len(key), np.uint64)
         rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1]))).astype(np.uint64)
@@ -199,7 +199,7 @@ def shard_transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
         after[left <= known] = 0
         key = (rank << np.uint64(32)) | after
         known *= 2
-    # Empty suffixes come first, in order of the texts.
+    order[: len(texts)] = ends - 1  # empty suffixes come first, in order of the texts
     before = np.zeros(len(symbol), np.uint16)
     before[1:] = symbol[:-1]
     before[place == 0] = 0
@@ -207,33 +207,39 @@ def shard_transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def merge_transforms(shards: list[np.ndarray], rounds: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Merges transforms: (order, interval). order lists rows, shard after shard, as merged; rows with equal
-    interval agree in their first ``rounds`` symbols. The interleave is refined until nothing changes."""
+    """Merges transforms: (order, interval). order lists rows, numbered shard after shard, as merged; rows with equal
+    interval agree in their first ``rounds`` symbols. The interleave is refined until nothing changes.
+
+    The interleave is held as the rows themselves (a shard's rows keep their order in it): a round sorts them stably by preceding symbol and
+    steps each to the row of the suffix that is longer by that symbol, which a shard's own transform tells once and for all."""
     symbols = np.concatenate(shards)
     if symbols.max(initial=0) < 256:
         symbols = symbols.astype(np.uint8)
-    kind = np.uint8 if len(shards) < 256 else np.uint16
-    sizes = [len(s) for s in shards]
-    interleave = np.repeat(np.arange(len(shards)), sizes).astype(kind)
-    ended = np.concatenate([np.full(int((s == 0).sum()), i, kind) for i, s in enumerate(shards)])  # empty suffixes, by shard
+    longer = np.empty(len(symbols), np.int32)
+    empty, at = [], 0
+    for s in shards:
+        step = np.argsort(symbols[at : at + len(s)], kind="stable")
+        longer[at + step] = np.arange(at, at + len(s), dtype=np.int32)
+        empty.append(np.arange(at, at + int((s == 0).sum()), dtype=np.int32))
+        at += len(s)
+    ended = np.concatenate(empty)  # empty suffixes, by shard
+    order = np.arange(len(symbols), dtype=np.int32)
     interval = np.zeros(len(symbols), np.int32)
-    order = np.arange(len(symbols))
+    refined = np.zeros(len(symbols), np.int32)
+    border = np.zeros(len(symbols), bool)
     for _ in range(rounds):
         preceding = symbols[order]
         step = np.argsort(preceding, kind="stable")
-        sorted_symbols, sorted_interval = preceding[step], interval[step]
-        border = np.concatenate(([False], (sorted_symbols[1:] != sorted_symbols[:-1]) | (sorted_interval[1:] != sorted_interval[:-1])))
+        held, before = preceding[step], interval[step]
+        np.not_equal(held[1:], held[:-1], out=border[1:])
+        border[1:] |= before[1:] != before[:-1]
         border[1 : len(ended)] = False  # empty suffixes are equal
-        refined = np.cumsum(border, dtype=np.int32)
-        interleave = interleave[step]
-        interleave[: len(ended)] = ended
-        order = np.argsort(interleave, kind="stable")  # rows of a shard keep their order
-        inverse = np.empty_like(order)
-        inverse[order] = np.arange(len(order))
-        order = inverse
+        np.cumsum(border, dtype=np.int32, out=refined)
+        order = longer[order[step]]
+        order[: len(ended)] = ended
         if refined[-1] == interval[-1] and np.array_equal(refined, interval):
             break
-        interval = refined
+        interval, refined = refined, interval
     return order, interval
 
 
