@@ -72,7 +72,7 @@ def is_satisfied(shortfall: DataFrame, by: Sequence[str] = ("class",)) -> DataFr
 def prompt_index(prompts: DataFrame) -> DataFrame:
     """Prompts numbered densely by (category, mode, ladder place, stage) within a category."""
     order = Window.partitionBy("category").orderBy("mode", F.coalesce(severity_rank("stage"), F.lit(99)), "stage")
-    return prompts.withColumn("prompt_index", F.row_number().over(order) - 1)
+    return prompts.withColumn("prompt_index", (F.row_number().over(order) - 1).cast("long"))
 
 
 def build_jobs(sources: DataFrame, prompts: DataFrame, *, base_seed: int, num_per_source: int, crops: int = 1) -> DataFrame:

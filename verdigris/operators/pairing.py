@@ -44,7 +44,7 @@ def pair_runs(runs: DataFrame, *, group_keys: Sequence[str] | None = None, dupli
         found = null_safe_join(synth, real, keys)
     configs = found.select(*keys).distinct()
     order = Window.orderBy(*[F.col(k).asc_nulls_last() for k in keys])
-    numbered = configs.withColumn("model_id", F.row_number().over(order) - 1)  # one row for each trained model
+    numbered = configs.withColumn("model_id", (F.row_number().over(order) - 1).cast("long"))  # one row for each trained model
     return null_safe_join(found, numbered, keys).select("model_id", "real_run_id", "synth_run_id", "set_name", *keys)
 
 

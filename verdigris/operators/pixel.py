@@ -30,7 +30,7 @@ def score_edges(pixels: DataFrame, by: Sequence[str], n_bins: int, strategy: str
 
 def bin_index(score: Column, edges: Column) -> Column:
     """Number of edges at or below a score, for grids of some dozens of edges."""
-    return F.size(F.filter(edges, lambda e: e <= score))
+    return F.size(F.filter(edges, lambda e: e <= score)).cast("long")
 
 
 def region_weights(pixels: DataFrame, image: Sequence[str] = ("run_id", "image_id")) -> DataFrame:

@@ -212,7 +212,7 @@ ORACLE_SQL = {k: D.with_views(v) for k, v in {
     "job_resume": f"""{JOBS}, dn AS (SELECT DISTINCT 'img' || lpad(CAST(image_id AS VARCHAR), 6, '0') || '__crop0' AS roi_id, class AS mode, severity AS stage, image_id % 2 AS attempt FROM fx_manifest WHERE image_id % 3 = 0)
       SELECT category, mode, count(*) AS n, CAST(sum(seed) AS BIGINT) AS seeds FROM jc ANTI JOIN dn USING (roi_id, mode, stage, attempt) GROUP BY category, mode""",
     "job_shards": "SELECT image_id, category FROM (SELECT image_id, category, row_number() OVER (ORDER BY category, image_id) - 1 AS i FROM fx_manifest) WHERE i % 7 = 2",
-    "grid_expand": "SELECT (a.i * 3 + b.i) * 4 + c.i AS grid_pos, a.v AS category, b.v AS seed, c.v AS shots FROM (VALUES (0, 'bottle'), (1, 'tile')) a(i, v) CROSS JOIN (VALUES (0, '0'), (1, '1'), (2, '2')) b(i, v) CROSS JOIN (VALUES (0, '1'), (1, '2'), (2, '4'), (3, '8')) c(i, v)",
+    "grid_expand": "SELECT CAST((a.i * 3 + b.i) * 4 + c.i AS BIGINT) AS grid_pos, a.v AS category, b.v AS seed, c.v AS shots FROM (VALUES (0, 'bottle'), (1, 'tile')) a(i, v) CROSS JOIN (VALUES (0, '0'), (1, '1'), (2, '2')) b(i, v) CROSS JOIN (VALUES (0, '1'), (1, '2'), (2, '4'), (3, '8')) c(i, v)",
     "resume_partition": """rs AS (SELECT category, param_model_backbone, param_seed, count(DISTINCT set_name) FILTER (status = 'FINISHED') AS n_finished, count(DISTINCT set_name) FILTER (status = 'FINISHED' AND set_name IN ('real', 'all')) = 2 AS complete,
       coalesce(string_agg(run_id, ',' ORDER BY run_id), '') AS everything, coalesce(string_agg(run_id, ',' ORDER BY run_id) FILTER (status <> 'FINISHED'), '') AS unfinished FROM fx_runs GROUP BY ALL)
       SELECT category, param_model_backbone, param_seed, complete, CAST(n_finished AS INT) AS n_finished, CASE WHEN complete THEN unfinished ELSE everything END AS stale_runs FROM rs""",
