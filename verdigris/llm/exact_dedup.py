@@ -98,7 +98,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = moved.groupBy("digest").agg(F.count("*").alias("gone"))
     stay = (
         rows.join(hits.select("digest", "keep_id", "n"), "digest", "left").join(gone, "digest", "left")
-        .join(moved.select("id", "digest", "text_hash").distinct(), ["id", "digest", "text_hash"], "left_anti")
+        .join(moved.select("digest", "text_hash").distinct(), ["digest", "text_hash"], "left_anti")
         .select("id", "text_hash", "digest", F.coalesce("keep_id", "id").alias("keep_id"), (F.coalesce("n", F.lit(1)) - F.coalesce("gone", F.lit(0))).cast("long").alias("group_size"))
     )
     both = stay.unionByName(moved.select("id", "text_hash", "digest", "keep_id", "group_size"))
@@ -107,15 +107,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _differing(docs: DataFrame, members: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     """Rows of hit digests whose bytes aren't the keeper's: (id, digest, text)."""
-    ids = members.select(F.col("id").alias("_id")).distinct()
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit((1 << 63) - 1))  # noqa: E731  rows without an id are compared too
+    ids = members.select(key("id").alias("_id")).distinct()
     if members.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    norm = normalized(F.col(text_col))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col), F.input_file_name().alias("_file")).join(ids, "_id", "left_semi")
-    texts = texts.select("_id", "_file", F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), norm.alias("text")).withColumn("digest", digest(F.col("text")))
-    keepers = texts.join(hits.select("digest", F.col("keep_id").alias("_id"), F.col("locator").alias("_file")).hint("shuffle_merge"), ["digest", "_id", "_file"]).groupBy("digest").agg(F.min("text").alias("kept_text"))
+    texts = docs.select(key(id_col).alias("_id"), F.col(id_col).cast("long").alias("_own"), F.col(text_col), F.input_file_name().alias("_file")).join(ids, "_id", "left_semi")
+    texts = texts.select("_id", "_own", "_file", F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), normalized(F.col(text_col)).alias("text"))
+    texts = texts.withColumn("digest", digest(F.col("text")))
+    first = hits.select("digest", key("keep_id").alias("_id"), "locator").hint("shuffle_merge")
+    keepers = texts.join(first, ["digest", "_id"]).where("locator IS NULL OR _file = locator").groupBy("digest").agg(F.min("text").alias("kept_text"))
     compared = texts.join(keepers.hint("shuffle_merge"), "digest").where("text <> kept_text")
-    return materialize(compared.select(F.col("_id").alias("id"), "text_hash", "digest", "text"), "dedup-differ")
+    return materialize(compared.select(F.col("_own").alias("id"), "text_hash", "digest", "text"), "dedup-differ")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

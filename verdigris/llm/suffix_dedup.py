@@ -195,7 +195,8 @@ def shard_transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
         if known >= LENGTH or int(rank.max()) == len(key) - 1:
             break
         after = np.zeros(len(key), np.uint64)
-        after[: len(key) - known] = rank[known:] + np.uint64(1)
+        if known < len(key):
+            after[: len(key) - known] = rank[known:] + np.uint64(1)
         after[left <= known] = 0
         key = (rank << np.uint64(32)) | after
         known *= 2
