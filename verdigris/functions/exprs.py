@@ -25,7 +25,7 @@ def clean_frame(df: DataFrame) -> DataFrame:
 
 
 def safe_div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)
+    return F.try_divide(a, b)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

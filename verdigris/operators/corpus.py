@@ -306,4 +306,4 @@ def overlap_efficiency(spans: DataFrame, by: Sequence[str] = ("gpu",)) -> DataFr
     end = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = spans.withColumns({"__end": end, "__start": end - F.col("dur_ms") / 1e3})
     wall = F.max("__end") - F.min("__start")
-    return rows.groupBy(*by).agg((F.sum("dur_ms") / 1e3).alias("busy_s"), wall.alias("wall_s"), F.when(wall > 0, F.sum("dur_ms") / 1e3 / wall).alias("efficiency"))
+    return rows.groupBy(*by).agg((F.sum("dur_ms") / 1e3).alias("busy_s"), wall.alias("wall_s"), F.when(wall > 0, F.try_divide(F.sum("dur_ms") / 1e3, wall)).alias("efficiency"))

@@ -24,7 +24,7 @@ def _both(paired: DataFrame, by: Sequence[str], min_defect_samples: int | None)
 
 def _pearson(x: str, y: str) -> Column:
     """From centred values; NULL where one side is constant. (corr() raises there.)"""
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.covar_pop(x, y) / (F.stddev_pop(x) * F.stddev_pop(y)))
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def correlate(paired: DataFrame, by: Sequence[str] = DEFAULT_BY, *, alpha: float = 0.05, min_n: int = 4, min_defect_samples: int | None = None, p_values: bool = True) -> DataFrame:
@@ -50,17 +50,18 @@ def correlate(paired: DataFrame, by: Sequence[str] = DEFAULT_BY, *, alpha: float
     )
     n = F.col("n").cast("double")
     pairs = n * (n - 1) / 2
-    found = found.withColumns({"pearson_r": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("pearson_r"))), "spearman_rho": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("spearman_rho")))})
+    capped = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
+    found = found.withColumns({c: capped(c) for c in ("pearson_r", "spearman_rho")})
     degenerate = (F.col("n") < min_n) | F.col("pearson_r").isNull()
     r = F.col("pearson_r")
-    half = stats.normal_quantile(1 - alpha / 2) / F.sqrt(n - 3)
+    half = F.try_divide(F.lit(stats.normal_quantile(1 - alpha / 2)), F.sqrt(F.greatest(n - 3, F.lit(0.0))))
     inside = (F.col("n") > 3) & (F.abs(r) < 1)
     fields = {
         "pearson_r": r, "pearson_r2": r * r, "pearson_ci_lo": F.when(inside, F.tanh(F.atanh(r) - half)), "pearson_ci_hi": F.when(inside, F.tanh(F.atanh(r) + half)),
-        "spearman_rho": F.col("spearman_rho"), "kendall_tau": F.col("agree") / F.sqrt((pairs - F.col("xt")) * (pairs - F.col("yt"))),
+        "spearman_rho": F.col("spearman_rho"), "kendall_tau": F.try_divide(F.col("agree"), F.sqrt((pairs - F.col("xt")) * (pairs - F.col("yt")))),
     }
     if p_values:
-        t = lambda c: F.when(F.abs(c) < 1, c * F.sqrt((n - 2) / (1 - c * c)))
+        t = lambda c: F.when(F.abs(c) < 1, c * F.sqrt(F.try_divide(n - 2, 1 - c * c)))
         p = lambda c: F.when(F.abs(c) >= 1, 0.0).otherwise(stats.t_p_value(t(c), n - 2))
         fields |= {"pearson_p": p(r), "spearman_p": p(F.col("spearman_rho")), "kendall_p": stats.kendall_p_value(F.col("agree"), n, pairs, *[F.col(c).cast("double") for c in ("xt", "yt", "x3", "y3", "x2", "y2")])}
     out = found.withColumns({k: F.when(~degenerate, v) for k, v in fields.items()})
@@ -112,10 +113,10 @@ def evaluate_bias(
     n = F.col("n").cast("double")
     sd = F.when(F.col("sd") <= 1e-9 * F.greatest("most", F.lit(1.0)), 0.0).otherwise(F.col("sd"))
     enough = F.col("n") >= max(min_n, 2)
-    found = found.withColumn("bias_sd", F.when(enough, sd)).drop("sd", "most").withColumn("bias_se", F.col("bias_sd") / F.sqrt(n))
+    found = found.withColumn("bias_sd", F.when(enough, sd)).drop("sd", "most").withColumn("bias_se", F.try_divide(F.col("bias_sd"), F.sqrt(n)))
     if intervals:
         half = stats.t_critical(1 - alpha / 2, F.when(enough, n - 1)) * F.col("bias_se")
-        t = F.when(F.col("bias_sd") > 0, F.col("bias") / F.col("bias_se"))
+        t = F.when(F.col("bias_sd") > 0, F.try_divide(F.col("bias"), F.col("bias_se")))
         found = found.withColumn("__half", half).withColumns({"bias_ci_lo": F.col("bias") - F.col("__half"), "bias_ci_hi": F.col("bias") + F.col("__half"), "bias_t": t})
         found = found.withColumns({"bias_p": stats.t_p_value(F.col("bias_t"), n - 1), "overestimates": F.when(F.col("bias_ci_lo") > 0, True).when(F.col("bias_ci_hi") < 0, False)}).drop("__half")
     return found

@@ -107,7 +107,7 @@ def auroc(rows: DataFrame, by: Sequence[str], positive: Column | None = None, sc
     below = F.sum("q").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("won", F.col("p") * (F.coalesce(below, F.lit(0.0)) + F.col("q") / 2))
     total = F.sum("p") * F.sum("q")
-    return counts.groupBy(*by).agg(F.when(total > 0, F.sum("won") / total).alias(name))
+    return counts.groupBy(*by).agg(F.try_divide(F.sum("won"), total).alias(name))
 
 
 def average_precision(rows: DataFrame, by: Sequence[str], positive: Column | None = None, score: str = "score", name: str = "image_aupr") -> DataFrame:
@@ -115,7 +115,7 @@ def average_precision(rows: DataFrame, by: Sequence[str], positive: Column | Non
     counts = _score_counts(rows, by, F.col("label") == 1 if positive is None else positive, score)
     down = Window.partitionBy(*by).orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumns({"tp": F.sum("p").over(down), "all": F.sum(F.col("p") + F.col("q")).over(down)})
-    return counts.groupBy(*by).agg(F.when(F.sum("p") > 0, F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.sum("p")).alias(name))
+    return counts.groupBy(*by).agg(F.when(F.sum("p") > 0, F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p"))).alias(name))
 
 
 def severity_concordance(rows: DataFrame, by: Sequence[str], *, min_level_n: int = 1, exclude: Sequence[str] = ()) -> DataFrame:
@@ -157,7 +157,7 @@ def severity_concordance(rows: DataFrame, by: Sequence[str], *, min_level_n: int
     adjacent = []
     for a, b in pairs:
         gap = total([n[k] for k in range(a + 1, b)]) == 0 if b > a + 1 else F.lit(True)
-        adjacent.append(F.when((n[a] > 0) & (n[b] > 0) & gap, F.col(f"w{a}{b}") / (n[a] * n[b])))
+        adjacent.append(F.when((n[a] > 0) & (n[b] > 0) & gap, F.try_divide(F.col(f"w{a}{b}"), n[a] * n[b])))
     size = total([n[k] for k in levels])
     all_pairs = size * (size - 1) / 2
     tied_levels = total([n[k] * (n[k] - 1) / 2 for k in levels])
@@ -176,8 +176,8 @@ def severity_concordance(rows: DataFrame, by: Sequence[str], *, min_level_n: int
     spearman_ok = two & (defect_levels >= 2) & (m >= 3) & (total([F.when(dn[k] > 0, 1).otherwise(0) for k in dn]) >= 2) & (F.col("n_defect_scores") >= 2)
     out = found.select(
         *by, F.when(two, ratio(everything)).alias("severity_cindex"), F.when(two & (defect_levels >= 2), ratio(defects)).alias("severity_cindex_defects"),
-        F.when(two & (F.col("n_scores") > 1), (2 * won - compared) / F.sqrt((all_pairs - tied_levels) * (all_pairs - F.col("tied_scores")))).alias("severity_tau_b"),
-        F.when(spearman_ok, cov / F.sqrt(var_l * var_s)).alias("severity_spearman"),
+        F.when(two & (F.col("n_scores") > 1), F.try_divide(2 * won - compared, F.sqrt((all_pairs - tied_levels) * (all_pairs - F.col("tied_scores"))))).alias("severity_tau_b"),
+        F.when(spearman_ok, F.try_divide(cov, F.sqrt(var_l * var_s))).alias("severity_spearman"),
         F.when(two, F.aggregate(F.array_compact(F.array(*adjacent)), F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(F.array_compact(F.array(*adjacent))), F.lit(0))).alias("severity_adjacent_auc"),
         count.cast("double").alias("n_severity_levels"), F.when(two, compared).otherwise(0.0).alias("n_severity_pairs"),
     )

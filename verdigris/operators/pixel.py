@@ -59,18 +59,18 @@ def pixel_metrics(histograms: DataFrame, by: Sequence[str] = ("run_id",), fpr_li
     down = Window.partitionBy(*by).orderBy(F.col("bin").desc())
     upto, whole = down.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
     bins = bins.withColumns({"tp": F.sum("p").over(upto), "fp": F.sum("q").over(upto), "cw": F.sum("w").over(upto), "P": F.sum("p").over(whole), "N": F.sum("q").over(whole), "R": F.sum("r").over(whole)})
-    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.try_divide(F.col(a), F.col(b)))
     bins = bins.withColumns({"tpr": ratio("tp", "P"), "fpr": ratio("fp", "N"), "pro": ratio("cw", "R")})
     prior = lambda c: F.coalesce(F.lag(c).over(down), F.lit(0.0))
     bins = bins.withColumns({"tpr0": prior("tpr"), "fpr0": prior("fpr"), "pro0": prior("pro")})
     step = F.col("fpr") - F.col("fpr0")
     cut = F.least(F.col("fpr"), F.lit(fpr_limit)) - F.col("fpr0")
-    at_cut = F.when(F.col("fpr") <= fpr_limit, F.col("pro")).otherwise(F.col("pro0") + cut / F.when(step > 0, step) * (F.col("pro") - F.col("pro0")))
+    at_cut = F.when(F.col("fpr") <= fpr_limit, F.col("pro")).otherwise(F.col("pro0") + F.try_divide(cut, step) * (F.col("pro") - F.col("pro0")))
     area = F.when((F.col("fpr0") < fpr_limit) & (step > 0), cut * (F.col("pro0") + at_cut) / 2).otherwise(0.0)
     both = (F.max("P") > 0) & (F.max("N") > 0)
     return bins.groupBy(*by).agg(
         F.when(both, F.sum(step * (F.col("tpr") + F.col("tpr0")) / 2)).alias("pixel_auroc"),
-        F.when(both, F.sum((F.col("tpr") - F.col("tpr0")) * F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(1.0))).alias("pixel_aupr"),
+        F.when(both, F.sum((F.col("tpr") - F.col("tpr0")) * F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(1.0)))).alias("pixel_aupr"),
         F.when(both & (F.max("R") > 0), F.sum(area) / fpr_limit).alias("aupro"), (F.max("P") / F.nullif(F.max("P") + F.max("N"), F.lit(0.0))).alias("positive_pixel_rate"))
 
 
@@ -133,4 +133,4 @@ def defect_area_fraction(mask: Column) -> Column:
     """Share of a flattened mask above half of its largest value, to six places; NULL for an empty mask, 0 for a blank one."""
     top = F.array_max(mask).cast("double")
     on = F.size(F.filter(mask, lambda x: x.cast("double") > top / 2))
-    return F.round(F.when(F.size(mask) > 0, F.when(top > 0, on / F.size(mask)).otherwise(0.0)), 6)
+    return F.round(F.when(F.size(mask) > 0, F.when(top > 0, F.try_divide(on.cast("double"), F.size(mask).cast("double"))).otherwise(0.0)), 6)

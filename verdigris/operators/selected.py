@@ -76,7 +76,7 @@ def selected_metrics(
     )
     found = found.withColumn("regret", F.col("best") - F.col("value"))
     spread = F.when((F.col("best") > F.col("worst")) & (F.col("best") > F.col("chance")), F.col("best") - F.col("chance"))
-    found = found.withColumns({"skill": 1 - F.col("regret") / spread, "config": F.when(F.col("n_tied") > 1, F.concat(F.col("n_tied").cast("string"), F.lit(" tied"))).otherwise(F.col("label"))})
+    found = found.withColumns({"skill": 1 - F.try_divide(F.col("regret"), spread), "config": F.when(F.col("n_tied") > 1, F.concat(F.col("n_tied").cast("string"), F.lit(" tied"))).otherwise(F.col("label"))})
     return found.select(*keys, "selector", "metric", "value", "best", "chance", "regret", "skill", "n_models", "n_tied", "config")
 
 

@@ -57,7 +57,7 @@ def evaluate_selection(
         "hit_at_k": (F.col("at_k") == F.col("real_best")).cast("double"), "regret_random": F.col("real_best") - F.col("real_mean"), "regret_worst": F.col("real_best") - F.col("real_worst"),
     })
     spread = F.col("real_best") > F.col("real_worst")
-    skill = lambda c: F.when(spread & (F.col("regret_random") > 0), 1 - F.col(c) / F.col("regret_random"))
+    skill = lambda c: F.when(spread & (F.col("regret_random") > 0), 1 - F.try_divide(F.col(c), F.col("regret_random")))
     found = found.withColumns({"skill": skill("regret"), "skill_at_k": skill("regret_at_k")})
     enough = F.col("n") >= min_n
     stats = ["regret", "regret_at_k", "hit", "hit_at_k", "skill", "skill_at_k", "real_best", "real_chosen", "real_mean", "real_worst", "regret_random", "regret_worst", "synth_rank_of_best", "n_tied_at_top"]
@@ -141,7 +141,7 @@ def with_noise_floor(selection: DataFrame, noise: DataFrame, *, on: Sequence[str
     on = list(on) if on is not None else [c for c in noise.columns if c in selection.columns]
     out = null_safe_join(selection, noise, on, "left")
     sd = F.col("real_noise_sd")
-    return out.withColumns({"regret_in_noise_sd": F.when(sd > 0, F.col("regret") / sd), "decidable": F.coalesce(F.col("regret_random") > sd, F.lit(False))})
+    return out.withColumns({"regret_in_noise_sd": F.when(sd > 0, F.try_divide(F.col("regret"), sd)), "decidable": F.coalesce(F.col("regret_random") > sd, F.lit(False))})
 
 
 def evaluate_per_training_set(paired: DataFrame, by: Sequence[str] = DEFAULT_BY, *, replicate_key: str = "param_seed", keys: Sequence[str] = TRAINING_SET_KEYS, **options) -> DataFrame:

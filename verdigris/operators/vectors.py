@@ -68,7 +68,7 @@ def greedy_coreset(vectors: DataFrame, ratio: float, *, by: str, id_col: str = "
 def cosine_distance(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a) * dot(b, b))
-    return 1 - F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+    return 1 - F.coalesce(F.try_divide(dot(a, b), size), F.lit(0.0))
 
 
 def l2_distance(a: Column, b: Column) -> Column:
