@@ -159,18 +159,6 @@ def contamination(sources: DataFrame, training: DataFrame, *, source_col: str, t
     return sources.withColumn("leak_key", leak_key(F.col(source_col), group_pattern)).join(train, "leak_key", "left_semi")
 
 
-def passage_contamination(docs: DataFrame, benchmark: DataFrame, *, words: int = 13) -> DataFrame:
-    """(doc_id, item_id, shared): word n-grams that documents share with benchmark items, joined on the n-gram's hash and confirmed on its text."""
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-        rows = df.select(key, w.alias("w")).where(F.size("w") >= words)
-        at = F.sequence(F.lit(1), F.size("w") - words + 1)
-        return rows.select(key, F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, words), " ")))).alias("gram")).withColumn("h", F.xxhash64("gram"))
-
-    met = grams(docs, "doc_id").alias("d").join(grams(benchmark, "item_id").alias("b"), F.expr("d.h = b.h AND d.gram = b.gram"))
-    return met.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-
-
 def train_pools(frames: DataFrame, *, seeds: Sequence[int], n_frames: int, reserved: int = 0, frame: str = "frame", by: Sequence[str] = ("category",), rank: Sequence[str] = ("kept", "total")) -> DataFrame:
     """Frames dealt to one pool per seed: the reserved head by name is skipped, the rest ranked by (kept, total, name) and dealt round robin."""
     n = len(seeds)

@@ -85,10 +85,6 @@ def resume_partition(spark, sf_dir):
 
 
 def contamination(spark, sf_dir):
-    return K.passage_contamination(D.table(spark, sf_dir, "documents"), D.table(spark, sf_dir, "benchmark"))
-
-
-def leak_keys(spark, sf_dir):
     m = D.manifest(spark, sf_dir)
     sources = m.where("image_id % 2 = 0").select(F.concat(F.lit("f"), (F.col("image_id") % 100).cast("string"), F.lit("__crop1")).alias("stem"), "image_id")
     train = m.where("image_id % 7 = 0").select(F.concat(F.lit("f"), (F.col("image_id") % 100).cast("string")).alias("frame"))
@@ -184,7 +180,7 @@ def coreset(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    verdict_threshold, threshold_change, margin_quantiles, accept_ladder, generated_counts, quota_shortfall, quota_satisfied, job_expand, job_resume, job_shards, grid_expand, resume_partition, contamination, leak_keys,
+    verdict_threshold, threshold_change, margin_quantiles, accept_ladder, generated_counts, quota_shortfall, quota_satisfied, job_expand, job_resume, job_shards, grid_expand, resume_partition, contamination,
     train_pools, feature_islands, round_robin, spread_slots, sample_defects, sample_defects_numpy, pick_samples, category_plan, prompt_lint, taxonomy_checks, negatives, span_summary, blocking_top20, overlap_efficiency,
     knn_score, feature_distance, coreset)}
 
@@ -195,10 +191,6 @@ jc AS (SELECT *, roi_id || '__' || mode || '__' || stage || '__' || attempt AS s
 FRAMES = "fr AS (SELECT run_id AS category, 'f' || lpad(CAST(sample_id % 60 AS VARCHAR), 2, '0') AS frame, count(*) FILTER (scorer = 'accept') AS kept, count(*) AS total FROM fx_scores GROUP BY ALL)"
 
 
-def grams(table: str, key: str) -> str:
-    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 12], ' ') AS gram FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key}, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {table}) WHERE len(w) >= 13)"
-
-
 ORACLE_SQL = {k: D.with_views(v) for k, v in {
     "verdict_threshold": "SELECT image_id, reward_score, CASE WHEN reward_score IS NULL THEN NULL WHEN reward_score >= 0.5 THEN 'accept' ELSE 'reject' END AS scorer FROM fx_manifest",
     "threshold_change": "SELECT count(*) FILTER (reward_score IS NULL) AS unscored, count(*) FILTER ((reward_score >= 0.2) <> (reward_score >= 0.6)) AS changed, count(*) AS rows FROM fx_manifest",
@@ -216,8 +208,7 @@ ORACLE_SQL = {k: D.with_views(v) for k, v in {
     "resume_partition": """rs AS (SELECT category, param_model_backbone, param_seed, count(DISTINCT set_name) FILTER (status = 'FINISHED') AS n_finished, count(DISTINCT set_name) FILTER (status = 'FINISHED' AND set_name IN ('real', 'all')) = 2 AS complete,
       coalesce(string_agg(run_id, ',' ORDER BY run_id), '') AS everything, coalesce(string_agg(run_id, ',' ORDER BY run_id) FILTER (status <> 'FINISHED'), '') AS unfinished FROM fx_runs GROUP BY ALL)
       SELECT category, param_model_backbone, param_seed, complete, CAST(n_finished AS INT) AS n_finished, CASE WHEN complete THEN unfinished ELSE everything END AS stale_runs FROM rs""",
-    "contamination": f"dg AS ({grams('documents', 'doc_id')}), bg AS ({grams('benchmark', 'item_id')}) SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN bg USING (gram) GROUP BY ALL",
-    "leak_keys": "SELECT 'f' || (image_id % 100) AS leak_key, 'f' || (image_id % 100) || '__crop1' AS stem, image_id FROM fx_manifest WHERE image_id % 2 = 0 AND image_id % 100 IN (SELECT image_id % 100 FROM fx_manifest WHERE image_id % 7 = 0)",
+    "contamination": "SELECT 'f' || (image_id % 100) AS leak_key, 'f' || (image_id % 100) || '__crop1' AS stem, image_id FROM fx_manifest WHERE image_id % 2 = 0 AND image_id % 100 IN (SELECT image_id % 100 FROM fx_manifest WHERE image_id % 7 = 0)",
     "train_pools": f"""{FRAMES}, f1 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY frame) AS h FROM fr), f2 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY kept, total, frame) - 1 AS p FROM f1 WHERE h > 10)
       SELECT category, CAST(p % 3 AS INT) AS seed, string_agg(frame, ',' ORDER BY frame) AS pool FROM f2 WHERE p < 12 GROUP BY ALL""",
     "feature_islands": """i1 AS (SELECT *, CASE WHEN lag(severity) OVER (PARTITION BY run_id ORDER BY sample_id) = severity THEN 0 ELSE 1 END AS s FROM fx_scores), i2 AS (SELECT *, sum(s) OVER (PARTITION BY run_id ORDER BY sample_id) - 1 AS island FROM i1)
