@@ -160,4 +160,4 @@ def page_language(pages: DataFrame) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id(read_table(spark, sf_dir, "documents"))
-    return out.drop("text_hash").withColumnRenamed("id", "doc_id")
+    return out.drop("text_hash").withColumnsRenamed({"id": "doc_id", "accepted": "kept"})
