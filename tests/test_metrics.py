@@ -163,3 +163,17 @@ def test_crops_cover_the_frame(spark):
     df = spark.createDataFrame([(500, 300), (96, 96), (99, 200)], "width int, height int")
     for r in I.grid_boxes(df, 96, 0.25).groupBy("width", "height").agg(F.min("x0").alias("a"), F.max("x1").alias("b"), F.max("y1").alias("c")).collect():
         assert r["b"] <= r["width"] and r["c"] == r["height"] and (r["width"] == 99 or (r["a"] == 0 and r["b"] == r["width"]))
+
+
+def test_estimate_masks_frame(spark):
+    rng = np.random.default_rng(2)
+    clean = rng.normal(100, 1, (32, 32, 3))
+    edit = clean.copy()
+    edit[8:18, 8:18] += 60
+    df = spark.createDataFrame([("a", clean.ravel().tolist(), edit.ravel().tolist(), 32, 32, 3), ("b", clean.ravel().tolist(), clean.ravel().tolist(), 32, 32, 3)], "image string, clean array<double>, edit array<double>, height int, width int, channels int")
+    got = {r["image"]: r for r in I.estimate_masks(df, ["image"]).collect()}
+    assert got["b"]["mask_status"] == "no_defect" and got["a"]["mask_components"] >= 1 and sum(got["a"]["mask"]) >= 100
+    masks = spark.createDataFrame([(got["a"]["mask"],)], "m array<int>").select(X.defect_area_fraction(F.col("m")).alias("f"), I.binary_iou(F.col("m"), F.col("m")).alias("i")).first()
+    assert masks["f"] == pytest.approx(sum(got["a"]["mask"]) / 1024, abs=1e-6) and masks["i"] == 1
+    regions = X.region_labels_2d(spark.createDataFrame([("a", got["a"]["mask"], 32, 32)], "image string, mask array<int>, height int, width int"), ["image"])
+    assert regions.agg(F.sum("size")).first()[0] == sum(got["a"]["mask"])
