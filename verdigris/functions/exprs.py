@@ -83,6 +83,6 @@ def parent_name(c: Column) -> Column:
     return F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
 
 
-def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 10) -> DataFrame:
     """Doubles rounded, -0.0 written as 0.0: for comparing results of engines that add in other orders."""
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c, t in df.dtypes if t == "double"})

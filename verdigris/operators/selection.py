@@ -171,7 +171,7 @@ def fixed_config_choice(
         "mean_rank": safe_div(F.sum("rank").over(every) - F.coalesce("rank", F.lit(0.0)), outside_n.cast("double")), "elsewhere": outside_rows > 0,
         "real_best": F.max("real").over(fold),
     })
-    order = [F.col("elsewhere").desc(), F.round("mean_rank", 9).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in configs]]
+    order = [F.col("elsewhere").desc(), F.round("mean_rank", 10).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in configs]]
     best = ranked.withColumn("rn", F.row_number().over(fold.orderBy(*order))).where("rn = 1")
     chosen = lambda c: F.when(F.col("elsewhere"), c)
     return best.select(
@@ -194,7 +194,7 @@ def leave_one_out_query(
     every = Window.partitionBy(*keys, "query")
     n = F.count(choose_by).over(every) - F.when(F.col(choose_by).isNotNull(), 1).otherwise(0)
     found = found.withColumn("chosen_on", safe_div(F.sum(choose_by).over(every) - F.coalesce(F.col(choose_by), F.lit(0.0)), n.cast("double")))
-    order = Window.partitionBy(*keys, held_out).orderBy(F.round("chosen_on", 9).desc_nulls_last(), "query")
+    order = Window.partitionBy(*keys, held_out).orderBy(F.round("chosen_on", 10).desc_nulls_last(), "query")
     return found.where("chosen_on IS NOT NULL").withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 

@@ -194,9 +194,9 @@ FRAMES = "fr AS (SELECT run_id AS category, 'f' || lpad(CAST(sample_id % 60 AS V
 ORACLE_SQL = {k: D.with_views(v) for k, v in {
     "verdict_threshold": "SELECT image_id, reward_score, CASE WHEN reward_score IS NULL THEN NULL WHEN reward_score >= 0.5 THEN 'accept' ELSE 'reject' END AS scorer FROM fx_manifest",
     "threshold_change": "SELECT count(*) FILTER (reward_score IS NULL) AS unscored, count(*) FILTER ((reward_score >= 0.2) <> (reward_score >= 0.6)) AS changed, count(*) AS rows FROM fx_manifest",
-    "margin_quantiles": "SELECT severity, count(*) AS n, round(quantile_cont(reward_score, 0.05), 9) + 0.0 AS p05, round(quantile_cont(reward_score, 0.25), 9) + 0.0 AS p25, round(quantile_cont(reward_score, 0.5), 9) + 0.0 AS p50, round(quantile_cont(reward_score, 0.75), 9) + 0.0 AS p75, round(quantile_cont(reward_score, 0.95), 9) + 0.0 AS p95 FROM fx_manifest WHERE reward_score IS NOT NULL GROUP BY severity",
+    "margin_quantiles": "SELECT severity, count(*) AS n, round(quantile_cont(reward_score, 0.05), 10) + 0.0 AS p05, round(quantile_cont(reward_score, 0.25), 10) + 0.0 AS p25, round(quantile_cont(reward_score, 0.5), 10) + 0.0 AS p50, round(quantile_cont(reward_score, 0.75), 10) + 0.0 AS p75, round(quantile_cont(reward_score, 0.95), 10) + 0.0 AS p95 FROM fx_manifest WHERE reward_score IS NOT NULL GROUP BY severity",
     "accept_ladder": """en AS (SELECT quantile_cont(reward_score, 0.05) AS lo, quantile_cont(reward_score, 0.95) AS hi FROM fx_manifest WHERE reward_score IS NOT NULL), ls AS (SELECT step, lo + (hi - lo) * step / 6 AS threshold FROM en CROSS JOIN (SELECT CAST(unnest(range(7)) AS INT) AS step))
-      SELECT severity, step, round(threshold, 9) + 0.0 AS threshold, round(avg(CASE WHEN reward_score >= threshold THEN 1.0 ELSE 0.0 END), 9) AS accept_rate, count(*) AS n FROM fx_manifest CROSS JOIN ls WHERE reward_score IS NOT NULL GROUP BY severity, step, threshold""",
+      SELECT severity, step, round(threshold, 10) + 0.0 AS threshold, round(avg(CASE WHEN reward_score >= threshold THEN 1.0 ELSE 0.0 END), 10) AS accept_rate, count(*) AS n FROM fx_manifest CROSS JOIN ls WHERE reward_score IS NOT NULL GROUP BY severity, step, threshold""",
     "generated_counts": "SELECT class, severity, count(*) AS have FROM fx_manifest GROUP BY ALL",
     "quota_shortfall": f"{CELLS} SELECT class, severity, CAST(coalesce(have, 0) AS BIGINT) AS have, CAST(CASE class WHEN 'en' THEN 200 ELSE 50 END AS BIGINT) AS target, CAST(greatest(0, CASE class WHEN 'en' THEN 200 ELSE 50 END - coalesce(have, 0)) AS BIGINT) AS need FROM ce LEFT JOIN gc USING (class, severity)",
     "quota_satisfied": f"{CELLS} SELECT class, bool_and(coalesce(have, 0) >= 25) AS satisfied, CAST(sum(greatest(0, 25 - coalesce(have, 0))) AS BIGINT) AS pending FROM ce LEFT JOIN gc USING (class, severity) GROUP BY class",
@@ -224,7 +224,7 @@ ORACLE_SQL = {k: D.with_views(v) for k, v in {
       SELECT category, mode, n, array_to_string(list_concat(list_transform(list_filter(['minimal', 'slight', 'moderate', 'severe'], lambda x: NOT list_contains(st, x)), lambda x: 'missing ' || x), CASE WHEN n > len(st) THEN ['repeated stage'] ELSE [] END), '; ') AS failures FROM tx""",
     "negatives": """SELECT image_id, 'no ' || category || '|no ' || class || ' x' AS negatives, 'Constraints: no ' || category || '; no ' || class || ' x. ' AS rendered FROM fx_manifest""",
     "span_summary": "SELECT name, count(*) AS n, round(sum(dur_ms), 6) AS total_ms, round(avg(dur_ms), 6) AS mean_ms, round(max(dur_ms), 6) AS max_ms FROM fx_spans GROUP BY name",
-    "blocking_top20": "SELECT event_id, round(dur_ms, 9) AS dur_ms, gpu, pid FROM fx_spans WHERE kind = 'block' ORDER BY dur_ms DESC, event_id LIMIT 20",
+    "blocking_top20": "SELECT event_id, round(dur_ms, 10) AS dur_ms, gpu, pid FROM fx_spans WHERE kind = 'block' ORDER BY dur_ms DESC, event_id LIMIT 20",
     "overlap_efficiency": """ov AS (SELECT gpu, sum(dur_ms) / 1e3 AS busy, max(epoch_us(CAST(ts AS TIMESTAMP)) / 1e6) - min(epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 - dur_ms / 1e3) AS wall FROM fx_spans GROUP BY gpu)
       SELECT gpu, round(busy, 6) AS busy_s, round(wall, 6) AS wall_s, round(busy / wall, 6) AS efficiency FROM ov""",
     "knn_score": """SELECT id, round(avg(d), 7) AS score FROM (SELECT q.vec_id AS id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS rn

@@ -166,28 +166,28 @@ cv AS (SELECT run_id, bin, sum(p) OVER u / nullif(pt, 0) AS tpr, sum(q) OVER u /
 cp AS (SELECT *, coalesce(lag(tpr) OVER v, 0) AS tpr0, coalesce(lag(fpr) OVER v, 0) AS fpr0, coalesce(lag(pro) OVER v, 0) AS pro0 FROM cv WINDOW v AS (PARTITION BY run_id ORDER BY bin DESC))"""
 
 ORACLE_SQL = {k: D.with_views(v) for k, v in {
-    "image_auroc": f"au AS ({auroc_sql('fx_scores', 'run_id')}) SELECT run_id, round(auc, 9) AS image_auroc FROM au",
-    "image_aupr": f"ap AS ({ap_sql('fx_scores', 'run_id')}) SELECT run_id, round(ap, 9) AS image_aupr FROM ap",
-    "query_metrics": f"{QM} SELECT run_id, query, n_samples, n_good_samples, n_defect_samples, round(image_auroc, 9) AS image_auroc, round(image_aupr, 9) AS image_aupr FROM qm",
+    "image_auroc": f"au AS ({auroc_sql('fx_scores', 'run_id')}) SELECT run_id, round(auc, 10) AS image_auroc FROM au",
+    "image_aupr": f"ap AS ({ap_sql('fx_scores', 'run_id')}) SELECT run_id, round(ap, 10) AS image_aupr FROM ap",
+    "query_metrics": f"{QM} SELECT run_id, query, n_samples, n_good_samples, n_defect_samples, round(image_auroc, 10) AS image_auroc, round(image_aupr, 10) AS image_aupr FROM qm",
     "gated_queries": f"{BYQ} SELECT query, mask_status, count(*) AS n, count(*) FILTER (label = 0) AS n_good FROM bq GROUP BY ALL",
     "eval_gate": f"SELECT sample_id, severity, defect_area_frac FROM fx_scores WHERE {GATE}",
-    "severity_cindex": f"{LV}, {pairs_sql('run_id')} SELECT run_id, round(sum(won) / sum(pairs), 9) AS severity_cindex, round(sum(won) FILTER (low > 0) / sum(pairs) FILTER (low > 0), 9) AS severity_cindex_defects, CAST(any_value(levels) AS DOUBLE) AS n_severity_levels, CAST(sum(pairs) AS DOUBLE) AS n_severity_pairs FROM pa JOIN nl USING (run_id) GROUP BY run_id",
+    "severity_cindex": f"{LV}, {pairs_sql('run_id')} SELECT run_id, round(sum(won) / sum(pairs), 10) AS severity_cindex, round(sum(won) FILTER (low > 0) / sum(pairs) FILTER (low > 0), 10) AS severity_cindex_defects, CAST(any_value(levels) AS DOUBLE) AS n_severity_levels, CAST(sum(pairs) AS DOUBLE) AS n_severity_pairs FROM pa JOIN nl USING (run_id) GROUP BY run_id",
     "severity_tau_b": f"""{LV}, {pairs_sql('run_id')}, tl AS (SELECT run_id, sum(c * (c - 1)) / 2.0 AS t FROM (SELECT run_id, lev, count(*) AS c FROM lk GROUP BY ALL) GROUP BY run_id), ts AS (SELECT run_id, sum(c * (c - 1)) / 2.0 AS t FROM (SELECT run_id, score, count(*) AS c FROM lk GROUP BY ALL) GROUP BY run_id)
-      SELECT run_id, round((2 * sum(won) - sum(pairs)) / sqrt((any_value(n) * (any_value(n) - 1) / 2.0 - any_value(tl.t)) * (any_value(n) * (any_value(n) - 1) / 2.0 - any_value(ts.t))), 9) + 0.0 AS severity_tau_b FROM pa JOIN nl USING (run_id) JOIN tl USING (run_id) JOIN ts USING (run_id) GROUP BY run_id""",
+      SELECT run_id, round((2 * sum(won) - sum(pairs)) / sqrt((any_value(n) * (any_value(n) - 1) / 2.0 - any_value(tl.t)) * (any_value(n) * (any_value(n) - 1) / 2.0 - any_value(ts.t))), 10) + 0.0 AS severity_tau_b FROM pa JOIN nl USING (run_id) JOIN tl USING (run_id) JOIN ts USING (run_id) GROUP BY run_id""",
     "severity_spearman": f"""{LV}, dr AS (SELECT run_id, rank() OVER (PARTITION BY run_id ORDER BY lev) + (count(*) OVER (PARTITION BY run_id, lev) - 1) / 2.0 AS a, rank() OVER (PARTITION BY run_id ORDER BY score) + (count(*) OVER (PARTITION BY run_id, score) - 1) / 2.0 AS b FROM lv WHERE lev > 0 AND label <> 0)
-      SELECT run_id, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 9) + 0.0 AS severity_spearman FROM dr GROUP BY run_id""",
-    "severity_adjacent": f"""{LV}, {pairs_sql('run_id', 'lev <> 2')} SELECT run_id, round(avg(won / pairs) FILTER (high = low + 1 OR (low = 1 AND high = 3)), 9) AS severity_adjacent_auc, round(sum(won) / sum(pairs), 9) AS severity_cindex, CAST(any_value(levels) AS DOUBLE) AS n_severity_levels FROM pa JOIN nl USING (run_id) GROUP BY run_id""",
-    "level_pair_auc": f"{LV}, {pairs_sql('run_id')} SELECT run_id, low, high, round(won / pairs, 9) AS auc, pairs FROM pa",
+      SELECT run_id, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 10) + 0.0 AS severity_spearman FROM dr GROUP BY run_id""",
+    "severity_adjacent": f"""{LV}, {pairs_sql('run_id', 'lev <> 2')} SELECT run_id, round(avg(won / pairs) FILTER (high = low + 1 OR (low = 1 AND high = 3)), 10) AS severity_adjacent_auc, round(sum(won) / sum(pairs), 10) AS severity_cindex, CAST(any_value(levels) AS DOUBLE) AS n_severity_levels FROM pa JOIN nl USING (run_id) GROUP BY run_id""",
+    "level_pair_auc": f"{LV}, {pairs_sql('run_id')} SELECT run_id, low, high, round(won / pairs, 10) AS auc, pairs FROM pa",
     "severity_report": f"""{LV}, th AS (SELECT run_id, scorer, lev FROM lv GROUP BY ALL HAVING count(*) >= 3), l2 AS (SELECT lv.* FROM lv JOIN th USING (run_id, scorer, lev)), pa AS (SELECT a.run_id, a.scorer, sum(CASE WHEN b.score > a.score THEN 1.0 WHEN b.score = a.score THEN 0.5 ELSE 0.0 END) / count(*) AS c FROM l2 a JOIN l2 b ON a.run_id = b.run_id AND a.scorer = b.scorer AND a.lev < b.lev GROUP BY ALL)
-      SELECT t.run_id, t.scorer, t.n, round(pa.c, 9) AS severity_cindex, CAST(lc.c AS DOUBLE) AS n_severity_levels FROM (SELECT run_id, scorer, count(*) AS n FROM lv GROUP BY ALL) t LEFT JOIN pa USING (run_id, scorer) LEFT JOIN (SELECT run_id, scorer, count(*) AS c FROM th GROUP BY ALL) lc USING (run_id, scorer)""",
-    "run_summary": f"""{QM} SELECT run_id, round(max(image_auroc) FILTER (query = 'all'), 9) AS image_auroc, round(max(image_aupr) FILTER (query = 'all'), 9) AS image_aupr, max(n_samples) FILTER (query = 'all') AS n_samples, count(*) AS n_queries,
+      SELECT t.run_id, t.scorer, t.n, round(pa.c, 10) AS severity_cindex, CAST(lc.c AS DOUBLE) AS n_severity_levels FROM (SELECT run_id, scorer, count(*) AS n FROM lv GROUP BY ALL) t LEFT JOIN pa USING (run_id, scorer) LEFT JOIN (SELECT run_id, scorer, count(*) AS c FROM th GROUP BY ALL) lc USING (run_id, scorer)""",
+    "run_summary": f"""{QM} SELECT run_id, round(max(image_auroc) FILTER (query = 'all'), 10) AS image_auroc, round(max(image_aupr) FILTER (query = 'all'), 10) AS image_aupr, max(n_samples) FILTER (query = 'all') AS n_samples, count(*) AS n_queries,
       count(*) FILTER (image_auroc IS NULL OR image_aupr IS NULL OR n_defect_samples < 50) AS num_invalid, max(CASE WHEN image_auroc IS NULL THEN 1 ELSE 0 END) + max(CASE WHEN image_aupr IS NULL THEN 1 ELSE 0 END) AS num_invalid_compat,
       CASE WHEN count(*) FILTER (image_auroc IS NULL OR image_aupr IS NULL OR n_defect_samples < 50) = 0 THEN 'valid' ELSE 'invalid' END AS validity FROM qm GROUP BY run_id""",
-    "augment_metrics": f"{QM} SELECT run_id, query, round(CASE WHEN query = 'defects' THEN image_auroc + 0.25 ELSE image_auroc END, 9) AS image_auroc FROM qm WHERE query <> 'accepted'",
-    "check_image_auroc": f"{QM} SELECT run_id, query, round(image_auroc + CAST(run_id AS INT) / 100.0, 9) AS stored, round(image_auroc, 9) AS recomputed, round(abs(image_auroc + CAST(run_id AS INT) / 100.0 - image_auroc), 9) AS delta FROM qm",
-    "pixel_hist": f"{HIST} SELECT run_id, image_id, bin, positive, negative, round(region_weight, 9) AS region_weight FROM hg",
-    "pixel_auroc": f"{CURVE} SELECT run_id, round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 9) AS pixel_auroc FROM cp GROUP BY run_id",
-    "pixel_aupr": f"{CURVE} SELECT run_id, round(sum((tpr - tpr0) * CASE WHEN pred > 0 THEN tp / pred ELSE 1 END), 9) AS pixel_aupr FROM cp GROUP BY run_id",
-    "aupro": f"""{CURVE} SELECT run_id, round(sum(CASE WHEN fpr0 < 0.3 AND fpr > fpr0 THEN (least(fpr, 0.3) - fpr0) * (pro0 + CASE WHEN fpr <= 0.3 THEN pro ELSE pro0 + (0.3 - fpr0) / (fpr - fpr0) * (pro - pro0) END) / 2 ELSE 0 END) / 0.3, 9) AS aupro FROM cp GROUP BY run_id""",
-    "positive_pixel_rate": "SELECT run_id, round(avg(label), 9) AS positive_pixel_rate FROM fx_pixels GROUP BY run_id",
+    "augment_metrics": f"{QM} SELECT run_id, query, round(CASE WHEN query = 'defects' THEN image_auroc + 0.25 ELSE image_auroc END, 10) AS image_auroc FROM qm WHERE query <> 'accepted'",
+    "check_image_auroc": f"{QM} SELECT run_id, query, round(image_auroc + CAST(run_id AS INT) / 100.0, 10) AS stored, round(image_auroc, 10) AS recomputed, round(abs(image_auroc + CAST(run_id AS INT) / 100.0 - image_auroc), 10) AS delta FROM qm",
+    "pixel_hist": f"{HIST} SELECT run_id, image_id, bin, positive, negative, round(region_weight, 10) AS region_weight FROM hg",
+    "pixel_auroc": f"{CURVE} SELECT run_id, round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 10) AS pixel_auroc FROM cp GROUP BY run_id",
+    "pixel_aupr": f"{CURVE} SELECT run_id, round(sum((tpr - tpr0) * CASE WHEN pred > 0 THEN tp / pred ELSE 1 END), 10) AS pixel_aupr FROM cp GROUP BY run_id",
+    "aupro": f"""{CURVE} SELECT run_id, round(sum(CASE WHEN fpr0 < 0.3 AND fpr > fpr0 THEN (least(fpr, 0.3) - fpr0) * (pro0 + CASE WHEN fpr <= 0.3 THEN pro ELSE pro0 + (0.3 - fpr0) / (fpr - fpr0) * (pro - pro0) END) / 2 ELSE 0 END) / 0.3, 10) AS aupro FROM cp GROUP BY run_id""",
+    "positive_pixel_rate": "SELECT run_id, round(avg(label), 10) AS positive_pixel_rate FROM fx_pixels GROUP BY run_id",
 }.items()}

@@ -57,5 +57,5 @@ ORACLE_SQL = {k: D.with_views(v) for k, v in {
       SELECT p_partkey, x0, y0, CAST(x0 + s AS INT) AS x1, CAST(y0 + s AS INT) AS y1 FROM px""",
     "crop_centers": f"""{_PARTS}, pc AS (SELECT *, CAST(p_partkey * 7 % 500 AS INT) AS cx, CAST(p_partkey * 11 % 300 AS INT) AS cy FROM pf), pb AS (SELECT *, CAST(CASE WHEN width <= 128 THEN 0 ELSE least(greatest(0, cx - 64), width - 128) END AS INT) AS x0, CAST(CASE WHEN height <= 128 THEN 0 ELSE least(greatest(0, cy - 64), height - 128) END AS INT) AS y0 FROM pc)
       SELECT p_partkey, x0, y0, CAST(CASE WHEN width <= 128 THEN width ELSE x0 + 128 END AS INT) AS x1, CAST(CASE WHEN height <= 128 THEN height ELSE y0 + 128 END AS INT) AS y1 FROM pb""",
-    "mask_iou": "SELECT run_id, round(count(*) FILTER (label > 0 AND score > 20) / nullif(CAST(count(*) FILTER (label > 0 OR score > 20) AS DOUBLE), 0), 9) AS iou FROM fx_scores GROUP BY run_id",
+    "mask_iou": "SELECT run_id, round(count(*) FILTER (label > 0 AND score > 20) / nullif(CAST(count(*) FILTER (label > 0 OR score > 20) AS DOUBLE), 0), 10) AS iou FROM fx_scores GROUP BY run_id",
 }.items()}

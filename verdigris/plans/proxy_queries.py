@@ -73,7 +73,7 @@ def selected_wide(spark, sf_dir):
 
 
 def selected_marks(spark, sf_dir):
-    marks = W.rank_marks(W.summarise_selected(_selected(spark, sf_dir)).select("category", "selector", "metric", F.round("value", 9).alias("value")))
+    marks = W.rank_marks(W.summarise_selected(_selected(spark, sf_dir)).select("category", "selector", "metric", F.round("value", 10).alias("value")))
     return rounded(marks)
 
 
@@ -142,20 +142,20 @@ def varies(n: int = 4) -> str:
 _Z = "1.959963984540054"
 MOMENTS = f"""{RANKED}, pm AS (SELECT {POP}, count(*) AS n, CASE WHEN {varies()} THEN {pearson('real', 'synth')} END AS r, min(real) AS real_min, max(real) AS real_max, stddev_samp(real) AS real_sd,
   min(synth) AS synth_min, max(synth) AS synth_max, stddev_samp(synth) AS synth_sd FROM ra GROUP BY {POP})
-SELECT {POP}, n, round(r, 9) + 0.0 AS pearson_r, round(r * r, 9) AS pearson_r2,
-  CASE WHEN n > 3 AND abs(r) < 1 THEN round(tanh(atanh(r) - {_Z} / sqrt(n - 3)), 9) + 0.0 END AS pearson_ci_lo, CASE WHEN n > 3 AND abs(r) < 1 THEN round(tanh(atanh(r) + {_Z} / sqrt(n - 3)), 9) + 0.0 END AS pearson_ci_hi,
-  {rnd(('real_min', 'real_max', 'real_sd', 'synth_min', 'synth_max', 'synth_sd'))}, round(real_max - real_min, 9) + 0.0 AS real_range, round(synth_max - synth_min, 9) + 0.0 AS synth_range FROM pm"""
+SELECT {POP}, n, round(r, 10) + 0.0 AS pearson_r, round(r * r, 10) AS pearson_r2,
+  CASE WHEN n > 3 AND abs(r) < 1 THEN round(tanh(atanh(r) - {_Z} / sqrt(n - 3)), 10) + 0.0 END AS pearson_ci_lo, CASE WHEN n > 3 AND abs(r) < 1 THEN round(tanh(atanh(r) + {_Z} / sqrt(n - 3)), 10) + 0.0 END AS pearson_ci_hi,
+  {rnd(('real_min', 'real_max', 'real_sd', 'synth_min', 'synth_max', 'synth_sd'))}, round(real_max - real_min, 10) + 0.0 AS real_range, round(synth_max - synth_min, 10) + 0.0 AS synth_range FROM pm"""
 TAU = f"""bo AS (SELECT *, row_number() OVER () AS rid FROM fx_paired WHERE real IS NOT NULL AND synth IS NOT NULL),
 pr AS (SELECT {', '.join('a.' + k.strip() for k in POP.split(','))}, sign(a.real - b.real) AS dr, sign(a.synth - b.synth) AS ds FROM bo a JOIN bo b ON {' AND '.join(f'a.{k.strip()} = b.{k.strip()}' for k in POP.split(','))} AND a.rid < b.rid),
 tb AS (SELECT {POP}, sum(dr * ds) / nullif(sqrt(CAST(count(*) FILTER (dr <> 0) AS DOUBLE) * count(*) FILTER (ds <> 0)), 0) AS tau FROM pr GROUP BY {POP}),
 nn AS (SELECT {POP}, count(*) AS n FROM bo GROUP BY {POP})
-SELECT {', '.join('nn.' + k.strip() for k in POP.split(','))}, n, CASE WHEN n >= 4 THEN round(tau, 9) + 0.0 END AS kendall_tau FROM nn LEFT JOIN tb USING ({POP})"""
+SELECT {', '.join('nn.' + k.strip() for k in POP.split(','))}, n, CASE WHEN n >= 4 THEN round(tau, 10) + 0.0 END AS kendall_tau FROM nn LEFT JOIN tb USING ({POP})"""
 SPLIT = """CASE WHEN query IN ('all', 'minimal', 'slight', 'moderate', 'severe') THEN query ELSE query END"""
 BIAS_SQL = f"""bb AS (SELECT metric, set_name, query AS severity, 'all' AS scorer, category, param_seed, param_data_num_train_samples, CASE WHEN real IS NOT NULL AND synth IS NOT NULL THEN real END AS r, CASE WHEN real IS NOT NULL AND synth IS NOT NULL THEN synth END AS s, synth - real AS d FROM fx_paired)
-SELECT {BIAS}, count(d) AS n, count(*) - count(d) AS n_dropped, round(avg(r), 9) + 0.0 AS real_mean, round(avg(s), 9) + 0.0 AS synth_mean, round(avg(d), 9) + 0.0 AS bias, round(median(d), 9) + 0.0 AS bias_median, round(avg(abs(d)), 9) AS bias_abs,
-  round(avg(CASE WHEN d > 0 THEN 1.0 WHEN d <= 0 THEN 0.0 END), 9) AS share_over, round(min(d), 9) + 0.0 AS bias_min, round(max(d), 9) + 0.0 AS bias_max,
-  CASE WHEN count(d) >= 3 THEN round(CASE WHEN stddev_samp(d) <= 1e-9 * greatest(max(abs(d)), 1) THEN 0 ELSE stddev_samp(d) END, 9) END AS bias_sd,
-  CASE WHEN count(d) >= 3 THEN round(CASE WHEN stddev_samp(d) <= 1e-9 * greatest(max(abs(d)), 1) THEN 0 ELSE stddev_samp(d) END / sqrt(count(d)), 9) END AS bias_se FROM bb GROUP BY {BIAS}"""
+SELECT {BIAS}, count(d) AS n, count(*) - count(d) AS n_dropped, round(avg(r), 10) + 0.0 AS real_mean, round(avg(s), 10) + 0.0 AS synth_mean, round(avg(d), 10) + 0.0 AS bias, round(median(d), 10) + 0.0 AS bias_median, round(avg(abs(d)), 10) AS bias_abs,
+  round(avg(CASE WHEN d > 0 THEN 1.0 WHEN d <= 0 THEN 0.0 END), 10) AS share_over, round(min(d), 10) + 0.0 AS bias_min, round(max(d), 10) + 0.0 AS bias_max,
+  CASE WHEN count(d) >= 3 THEN round(CASE WHEN stddev_samp(d) <= 1e-9 * greatest(max(abs(d)), 1) THEN 0 ELSE stddev_samp(d) END, 10) END AS bias_sd,
+  CASE WHEN count(d) >= 3 THEN round(CASE WHEN stddev_samp(d) <= 1e-9 * greatest(max(abs(d)), 1) THEN 0 ELSE stddev_samp(d) END / sqrt(count(d)), 10) END AS bias_se FROM bb GROUP BY {BIAS}"""
 SPOP = "set_name, category, param_seed, param_data_num_train_samples"
 SEL = f"""tb0 AS (SELECT {SPOP}, param_model_backbone AS b, param_model_coreset_sampling_ratio AS c, avg(real) FILTER (metric = 'image_auroc') AS r0, avg(real) FILTER (metric = 'aupro') AS r1, avg(real) FILTER (metric = 'pixel_auroc') AS r2,
   avg(synth) FILTER (metric = 'image_auroc' AND query = 'all') AS s1, avg(synth) FILTER (metric = 'aupro' AND query = 'severe') AS s2 FROM fx_paired GROUP BY ALL),
@@ -172,7 +172,7 @@ SUM = f"""{SEL}, ss AS (SELECT category, selector, metric, avg(value) AS value,
 _WIDE = [(m, s) for m in METRICS for s in ("fixed", "image_auroc@all", "oracle")]
 PIVOT = ", ".join(f"avg(value) FILTER (metric = '{m}' AND selector = '{s}') AS \"{m}@@{s}\"" for m, s in _WIDE)
 MEANS = ", ".join(f"avg(\"{m}@@{s}\") AS \"{m}@@{s}\"" for m, s in _WIDE)
-ROUNDED = ", ".join(f"round(\"{m}@@{s}\", 9) + 0.0 AS \"{m}@@{s}\"" for m, s in _WIDE)
+ROUNDED = ", ".join(f"round(\"{m}@@{s}\", 10) + 0.0 AS \"{m}@@{s}\"" for m, s in _WIDE)
 RM = """rm AS (SELECT run_id, q.query, (CAST(run_id AS BIGINT) % 97) / 97.0 AS image_auroc, (CAST(run_id AS BIGINT) % 89) / 89.0 AS aupro, CASE WHEN CAST(run_id AS BIGINT) % 5 <> 0 THEN (CAST(run_id AS BIGINT) % 13) / 13.0 END AS severity_tau_b,
   CAST(run_id AS BIGINT) % 50 AS n_samples, CAST(run_id AS BIGINT) % 20 AS n_defect_samples FROM fx_runs CROSS JOIN (VALUES ('all'), ('severe')) q(query) WHERE status = 'FINISHED'),
 ml AS (SELECT run_id, query, n_samples, n_defect_samples, m.m AS metric, CAST(CASE m.m WHEN 'image_auroc' THEN image_auroc WHEN 'aupro' THEN aupro ELSE severity_tau_b END AS DOUBLE) AS value FROM rm CROSS JOIN (VALUES ('image_auroc'), ('aupro'), ('severity_tau_b')) m(m)),
@@ -184,7 +184,7 @@ pp AS (SELECT *, dense_rank() OVER (ORDER BY category, param_model_backbone, par
 
 ORACLE_SQL = {k: D.with_views(v) for k, v in {
     "proxy_moments": MOMENTS,
-    "spearman": f"{RANKED} SELECT {POP}, count(*) AS n, CASE WHEN {varies()} THEN round({pearson('rr', 'sr')}, 9) + 0.0 END AS spearman_rho FROM ra GROUP BY {POP}",
+    "spearman": f"{RANKED} SELECT {POP}, count(*) AS n, CASE WHEN {varies()} THEN round({pearson('rr', 'sr')}, 10) + 0.0 END AS spearman_rho FROM ra GROUP BY {POP}",
     "kendall_tau": TAU.replace("CASE WHEN n >= 4 THEN", "CASE WHEN n >= 4 AND tau IS NOT NULL THEN"),
     "bias": BIAS_SQL,
     "split_queries": """qs AS (SELECT DISTINCT query AS q FROM fx_paired) SELECT query, CASE WHEN kind = 0 THEN q WHEN kind = 1 THEN q WHEN kind = 2 AND q = 'all' THEN 'severe' WHEN kind = 2 THEN query ELSE query END AS severity,
@@ -192,17 +192,17 @@ ORACLE_SQL = {k: D.with_views(v) for k, v in {
     "selected_metrics": f"{SEL} SELECT * REPLACE ({rnd(('value', 'best', 'chance', 'regret', 'skill'))}) FROM sm",
     "selected_summary": f"{SUM} SELECT * REPLACE ({rnd(('value', 'value_sd', 'regret', 'regret_sd', 'skill', 'skill_sd', 'best', 'chance'))}) FROM ss",
     "selected_wide": f"{SUM}, wd AS (SELECT category, {PIVOT} FROM ss GROUP BY category), wm AS (SELECT * FROM wd UNION ALL SELECT 'mean' AS category, {MEANS} FROM wd) SELECT category, {ROUNDED} FROM wm",
-    "selected_marks": f"""{SUM}, mk AS (SELECT category, selector, metric, round(round(value, 9), 3) + 0.0 AS value, CASE WHEN selector <> 'oracle' THEN round(round(value, 9), 3) END AS cell FROM ss)
+    "selected_marks": f"""{SUM}, mk AS (SELECT category, selector, metric, round(round(value, 10), 3) + 0.0 AS value, CASE WHEN selector <> 'oracle' THEN round(round(value, 10), 3) END AS cell FROM ss)
       SELECT category, selector, metric, value, CASE WHEN cell IS NULL OR count(cell) OVER (PARTITION BY category, metric) < 2 THEN '' ELSE CASE dense_rank() OVER (PARTITION BY category, metric ORDER BY cell DESC NULLS LAST) WHEN 1 THEN 'best' WHEN 2 THEN 'second' ELSE '' END END AS mark FROM mk""",
     "combined": f"""{selection_sql(POP)}, {RANKED}, pm AS (SELECT {POP}, CASE WHEN {varies()} THEN {pearson('real', 'synth')} END AS r FROM ra GROUP BY {POP}), {FIXED_CTES}
-      SELECT {POP}, round(r, 9) + 0.0 AS pearson_r, {rnd(('regret', 'skill'))}, round(best - real, 9) + 0.0 AS regret_fixed, regret < best - real AS beats_fixed FROM sel LEFT JOIN pm USING ({POP}) LEFT JOIN fc USING (metric, param_seed, param_data_num_train_samples, category)""",
+      SELECT {POP}, round(r, 10) + 0.0 AS pearson_r, {rnd(('regret', 'skill'))}, round(best - real, 10) + 0.0 AS regret_fixed, regret < best - real AS beats_fixed FROM sel LEFT JOIN pm USING ({POP}) LEFT JOIN fc USING (metric, param_seed, param_data_num_train_samples, category)""",
     "latest_runs": f"{LATEST} SELECT category, param_model_backbone, param_seed, set_name, run_id FROM lr",
     "pair_runs": f"{PAIRS} SELECT model_id, real_run_id, synth_run_id, set_name, category, param_model_backbone, param_seed FROM pp",
     "unpaired_runs": """up AS (SELECT category, param_model_backbone, param_seed, count(*) FILTER (set_name = 'real') AS n_real, count(*) FILTER (set_name <> 'real') AS n_synth FROM fx_runs WHERE status = 'FINISHED' GROUP BY ALL)
       SELECT *, CASE WHEN n_real = 0 THEN 'real' ELSE 'synth' END AS missing FROM up WHERE n_real = 0 OR n_synth = 0""",
     "paired_metrics": f"SELECT * REPLACE ({rnd(('real', 'synth'))}) FROM fx_paired",
-    "melt_metrics": f"{RM} SELECT run_id, query, metric, round(value, 9) AS value FROM ml",
-    "proxy_targets": f"{RM} SELECT run_id, metric, round(real, 9) AS real FROM rl",
-    "built_pairs": f"""{RM}, {PAIRS} SELECT model_id, set_name, category, param_model_backbone, param_seed, ml.query, ml.metric, round(rl.real, 9) AS real, round(ml.value, 9) AS synth, n_samples, n_defect_samples, real_run_id, synth_run_id
+    "melt_metrics": f"{RM} SELECT run_id, query, metric, round(value, 10) AS value FROM ml",
+    "proxy_targets": f"{RM} SELECT run_id, metric, round(real, 10) AS real FROM rl",
+    "built_pairs": f"""{RM}, {PAIRS} SELECT model_id, set_name, category, param_model_backbone, param_seed, ml.query, ml.metric, round(rl.real, 10) AS real, round(ml.value, 10) AS synth, n_samples, n_defect_samples, real_run_id, synth_run_id
       FROM pp JOIN ml ON ml.run_id = synth_run_id LEFT JOIN rl ON rl.run_id = real_run_id AND rl.metric = ml.metric""",
 }.items()}

@@ -35,10 +35,10 @@ DOUBLES = ("regret", "regret_at_k", "hit", "hit_at_k", "skill", "skill_at_k", "r
 
 
 def rnd(columns, prefix: str = "") -> str:
-    return ", ".join(f"round(CAST({prefix}{c} AS DOUBLE), 9) + 0.0 AS {c}" for c in columns)
+    return ", ".join(f"round(CAST({prefix}{c} AS DOUBLE), 10) + 0.0 AS {c}" for c in columns)
 
 
-SELECTED = f"n, n_dropped, k, round(alpha, 9) AS alpha, {rnd(DOUBLES)}, synth_rank_of_best, n_tied_at_top"
+SELECTED = f"n, n_dropped, k, round(alpha, 10) AS alpha, {rnd(DOUBLES)}, synth_rank_of_best, n_tied_at_top"
 
 
 def selection_regret(spark, sf_dir):
@@ -108,7 +108,7 @@ rk AS (SELECT *, rank() OVER f + (count(*) OVER (PARTITION BY metric, param_seed
   WINDOW f AS (PARTITION BY metric, param_seed, param_data_num_train_samples, category ORDER BY real DESC)),
 mr AS (SELECT h.metric, h.param_seed, h.param_data_num_train_samples, h.category, h.b, h.c, avg(o.rank) AS mean_rank, any_value(h.real) AS real
   FROM rk h JOIN rk o ON h.metric = o.metric AND h.param_seed = o.param_seed AND h.param_data_num_train_samples = o.param_data_num_train_samples AND h.b = o.b AND h.c = o.c AND h.category <> o.category GROUP BY 1, 2, 3, 4, 5, 6),
-pk AS (SELECT *, row_number() OVER (PARTITION BY metric, param_seed, param_data_num_train_samples, category ORDER BY round(mean_rank, 9), b, c) AS rn FROM mr),
+pk AS (SELECT *, row_number() OVER (PARTITION BY metric, param_seed, param_data_num_train_samples, category ORDER BY round(mean_rank, 10), b, c) AS rn FROM mr),
 fc AS (SELECT t.*, pk.b, pk.c, pk.real FROM (SELECT metric, param_seed, param_data_num_train_samples, category, max(real) AS best FROM sc GROUP BY ALL) t LEFT JOIN pk
   ON rn = 1 AND t.metric = pk.metric AND t.param_seed = pk.param_seed AND t.param_data_num_train_samples = pk.param_data_num_train_samples AND t.category = pk.category)"""
 
@@ -131,14 +131,14 @@ ORACLE_SQL = {k: D.with_views(v) for k, v in {
     "selection_pooled": f"ag AS ({AGG}), {selection_sql('metric, set_name, query, category', 'ag')} SELECT metric, set_name, query, category, {SELECTED} FROM sel",
     "replicate_noise": f"{NOISE} SELECT * REPLACE ({rnd(('real_noise_sd',))}) FROM nz",
     "selection_with_noise": f"""{selection_sql(POP)}, {NOISE} SELECT {POP}, {rnd(('regret', 'regret_random', 'real_noise_sd'))},
-      round(CASE WHEN real_noise_sd > 0 THEN regret / real_noise_sd END, 9) + 0.0 AS regret_in_noise_sd, coalesce(regret_random > real_noise_sd, false) AS decidable FROM sel LEFT JOIN nz USING ({WIDE})""",
+      round(CASE WHEN real_noise_sd > 0 THEN regret / real_noise_sd END, 10) + 0.0 AS regret_in_noise_sd, coalesce(regret_random > real_noise_sd, false) AS decidable FROM sel LEFT JOIN nz USING ({WIDE})""",
     "fixed_config_choice": f"""{FIXED_CTES} SELECT metric, param_seed, param_data_num_train_samples, category, b AS param_model_backbone, c AS param_model_coreset_sampling_ratio,
-      'param_model_backbone=' || b || ', param_model_coreset_sampling_ratio=' || c AS fixed_config, round(real, 9) AS real_fixed, round(best, 9) AS real_best FROM fc""",
+      'param_model_backbone=' || b || ', param_model_coreset_sampling_ratio=' || c AS fixed_config, round(real, 10) AS real_fixed, round(best, 10) AS real_best FROM fc""",
     "fixed_config_baseline": f"""{FIXED_CTES} SELECT metric, param_seed, param_data_num_train_samples, category, 'param_model_backbone=' || b || ', param_model_coreset_sampling_ratio=' || c AS fixed_config,
-      round(real, 9) AS real_fixed, round(best, 9) AS real_best, round(best - real, 9) + 0.0 AS regret_fixed FROM fc""",
+      round(real, 10) AS real_fixed, round(best, 10) AS real_best, round(best - real, 10) + 0.0 AS regret_fixed FROM fc""",
     "leave_one_out_query": f"""{selection_sql(POP)}, lo AS (SELECT h.*, o.m AS chosen_on FROM sel h JOIN (SELECT a.category AS held, a.metric, a.set_name, a.query, a.param_seed, a.param_data_num_train_samples, avg(b.skill) AS m
       FROM sel a JOIN sel b ON a.metric = b.metric AND a.set_name = b.set_name AND a.query = b.query AND a.param_seed = b.param_seed AND a.param_data_num_train_samples = b.param_data_num_train_samples AND a.category <> b.category GROUP BY ALL) o
       ON h.category = o.held AND h.metric = o.metric AND h.set_name = o.set_name AND h.query = o.query AND h.param_seed = o.param_seed AND h.param_data_num_train_samples = o.param_data_num_train_samples WHERE o.m IS NOT NULL)
-      SELECT {POP}, {rnd(('chosen_on', 'regret', 'skill'))} FROM lo QUALIFY row_number() OVER (PARTITION BY metric, set_name, param_seed, param_data_num_train_samples, category ORDER BY round(chosen_on, 9) DESC, query) = 1""",
+      SELECT {POP}, {rnd(('chosen_on', 'regret', 'skill'))} FROM lo QUALIFY row_number() OVER (PARTITION BY metric, set_name, param_seed, param_data_num_train_samples, category ORDER BY round(chosen_on, 10) DESC, query) = 1""",
     "config_dimensions": "SELECT * FROM (VALUES ('param_model_backbone'), ('param_model_coreset_sampling_ratio')) t(config)",
 }.items()}

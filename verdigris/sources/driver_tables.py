@@ -33,7 +33,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def real_and_synth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Long-form real arm (keys, metric, real) and synthetic arm (keys, query, metric, synth, counts), from one pre-aggregation of the cells.
 
-    Sums of hundredths are rounded to hundredths and scores to nine places, so that ties don't hang on the order in which an engine adds."""
+    Sums of hundredths are rounded to hundredths and scores cut to multiples of 2^-20: sums of scores are then exact, and neither ties
+    nor means hang on the order in which an engine adds."""
+    step = lambda v: F.floor(v * 1048576.0) / 1048576.0
     per_grade = cells(spark, sf_dir).groupBy(*KEYS, "grade").agg(
         F.sum("l_extendedprice").alias("price"), F.sum("l_tax").alias("tax"), F.sum("l_discount").alias("discount"), F.sum("l_quantity").alias("quantity"),
         F.sum(F.col("l_quantity") * F.col("l_tax")).alias("taxed"), F.count("*").alias("n"), F.count_if(F.col("l_tax") > 0).alias("n_defect"),
@@ -42,21 +44,28 @@ def real_and_synth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     metrics = lambda *pairs: F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in pairs]))
     real = whole.select(*KEYS, metrics(
         ("image_auroc", F.round("price", 2) / F.col("n") / 100000.0), ("aupro", F.round("tax", 2) / F.col("n")), ("pixel_auroc", F.round("discount", 2) / F.col("n")),
-    ).alias("m")).select(*KEYS, "m.metric", F.round("m.value", 9).alias("real"))
+    ).alias("m")).select(*KEYS, "m.metric", step(F.col("m.value")).alias("real"))
     by_query = per_grade.withColumn("query", F.explode(F.array(F.lit("all"), F.col("grade")))).groupBy(*KEYS, "query").agg(
         *[F.sum(c).alias(c) for c in ("quantity", "taxed", "n", "n_defect")])
     mean = F.col("quantity") / F.col("n")
     synth = by_query.select(*KEYS, "query", metrics(
         ("image_auroc", mean / 50.0), ("aupro", F.round("taxed", 2) / F.col("n")), ("pixel_auroc", F.floor(mean).cast("double")),
     ).alias("m"), F.col("n").alias("n_samples"), F.col("n_defect").alias("n_defect_samples"))
-    return real, synth.select(*KEYS, "query", "m.metric", F.round("m.value", 9).alias("synth"), "n_samples", "n_defect_samples")
+    return real, synth.select(*KEYS, "query", "m.metric", step(F.col("m.value")).alias("synth"), "n_samples", "n_defect_samples")
+
+
+_PAIRED: dict[tuple[str, str], DataFrame] = {}
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table: one row per (population, config)."""
-    real, synth = real_and_synth(spark, sf_dir)
-    out = synth.join(real, [*KEYS, "metric"], "left").withColumn("set_name", F.lit("all"))
-    return out.select("category", "set_name", "query", "metric", *TRAINING, *CONFIGS, "real", "synth", "n_samples", "n_defect_samples")
+    """The fact table: one row per (population, config). Every analysis reads it, so a session keeps it persisted for each
+    folder; its size is that of the populations, not of the scored items."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PAIRED:
+        real, synth = real_and_synth(spark, sf_dir)
+        out = synth.join(real, [*KEYS, "metric"], "left").withColumn("set_name", F.lit("all"))
+        _PAIRED[key] = out.select("category", "set_name", "query", "metric", *TRAINING, *CONFIGS, "real", "synth", "n_samples", "n_defect_samples").persist()
+    return _PAIRED[key]
 
 
 def paired_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +131,9 @@ SQL = {
   CASE WHEN l_discount <= 0.025 THEN 'minimal' WHEN l_discount <= 0.055 THEN 'slight' WHEN l_discount <= 0.085 THEN 'moderate' ELSE 'severe' END AS grade,
   CAST(l_extendedprice AS DOUBLE) AS l_extendedprice, CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_tax AS DOUBLE) AS l_tax, CAST(l_discount AS DOUBLE) AS l_discount
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
-    "fx_real": " UNION ALL ".join(f"SELECT {_KEYS}, '{m}' AS metric, {e} AS real FROM fx_cells GROUP BY {_KEYS}" for m, e in (("image_auroc", "round(round(sum(l_extendedprice), 2) / count(*) / 100000.0, 9)"), ("aupro", "round(round(sum(l_tax), 2) / count(*), 9)"), ("pixel_auroc", "round(round(sum(l_discount), 2) / count(*), 9)"))),
-    "fx_synth": f"""SELECT {_KEYS}, q.query, m.metric, CASE m.metric WHEN 'image_auroc' THEN round(avg(l_quantity) / 50.0, 9) WHEN 'aupro' THEN round(round(sum(l_quantity * l_tax), 2) / count(*), 9) ELSE CAST(floor(avg(l_quantity)) AS DOUBLE) END AS synth,
+    "fx_real": " UNION ALL ".join(f"SELECT {_KEYS}, '{m}' AS metric, floor({e} * 1048576.0) / 1048576.0 AS real FROM fx_cells GROUP BY {_KEYS}" for m, e in (
+        ("image_auroc", "round(sum(l_extendedprice), 2) / count(*) / 100000.0"), ("aupro", "round(sum(l_tax), 2) / count(*)"), ("pixel_auroc", "round(sum(l_discount), 2) / count(*)"))),
+    "fx_synth": f"""SELECT {_KEYS}, q.query, m.metric, floor(CASE m.metric WHEN 'image_auroc' THEN sum(l_quantity) / count(*) / 50.0 WHEN 'aupro' THEN round(sum(l_quantity * l_tax), 2) / count(*) ELSE floor(sum(l_quantity) / count(*)) END * 1048576.0) / 1048576.0 AS synth,
   count(*) AS n_samples, count(CASE WHEN l_tax > 0 THEN 1 END) AS n_defect_samples FROM fx_cells JOIN (VALUES ('all'), ('minimal'), ('slight'), ('moderate'), ('severe')) q(query) ON q.query = 'all' OR q.query = grade
   CROSS JOIN (VALUES ('image_auroc'), ('aupro'), ('pixel_auroc')) m(metric) GROUP BY {_KEYS}, q.query, m.metric""",
     "fx_paired": f"""SELECT s.category, 'all' AS set_name, s.query, s.metric, s.param_seed, s.param_data_num_train_samples, s.param_model_backbone, s.param_model_coreset_sampling_ratio, r.real, s.synth, s.n_samples, s.n_defect_samples
