@@ -110,6 +110,17 @@ def test_pack_counts_against_search():
     assert worse <= 1
 
 
+def test_pack_counts_of_many_short_ones():
+    for counts in ({1: 50_000}, {1: 20_000, 4000: 30, 4096: 5}, {2: 9_000, 3: 9_000, 4095: 3}):
+        plan = packing.pack_counts(counts)
+        used = {}
+        for f, n in plan:
+            assert sum(f) <= 4096
+            for s in set(f):
+                used[s] = used.get(s, 0) + f.count(s) * n
+        assert used == counts and sum(n for _, n in plan) <= -(-sum(a * b for a, b in counts.items()) // 4096) + 1
+
+
 @pytest.mark.parametrize("group", [5, 200_000])
 def test_best_fit_pack(spark, monkeypatch, word_codec, group):
     monkeypatch.setattr(packing, "GROUP", group)

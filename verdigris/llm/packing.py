@@ -164,10 +164,10 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int
     there isn't made unless the larger one leaves more waste; the search ends at the first filling without waste."""
     found: list[tuple[int, tuple[int, ...]]] = []
     best = allowed + 1
-    used: dict[int, int] = {}
     looked = 0
 
-    def search(at: int, left: int, chosen: tuple[int, ...]) -> bool:
+    def search(at: int, left: int, chosen: tuple[tuple[int, int], ...]) -> bool:
+        """Goes as deep as a filling has different lengths, at most the square root of twice the room."""
         nonlocal best, looked
         looked += 1
         lo, hi = at, len(lengths)
@@ -175,20 +175,16 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int
             mid = (lo + hi) // 2
             lo, hi = (mid + 1, hi) if lengths[mid] > left else (lo, mid)
         any_fits = False
-        k = lo
-        while k < len(lengths):
+        for k in range(lo, len(lengths)):
             size = lengths[k]
-            if used.get(size, 0) < counts[size]:
+            for n in range(min(counts[size], left // size), 0, -1):
                 any_fits = True
-                used[size] = used.get(size, 0) + 1
-                done = search(k, left - size, (*chosen, size))
-                used[size] -= 1
+                done = search(k + 1, left - n * size, (*chosen, (size, n)))
                 if done or looked >= most:
                     return done
-            k += 1
         if not any_fits and left < best:
             best = left
-            found.append((left, chosen))
+            found.append((left, tuple(s for s, n in chosen for _ in range(n))))
         return best == 0
 
     search(0, room, ())
