@@ -4,8 +4,9 @@ Documents are tokenised, an end id is added, and those longer than a sequence ar
 each length (at most one count per length up to the sequence's) reaches the driver. There a depth-first branch and
 bound completes one bin at a time around the largest length left: it enumerates undominated fillings (largest lengths first, so no
 filling is tried whose parts fit inside a larger length that is still there), keeps those of least waste and prunes where the waste so far exceeds
-what the best packing known allows. That incumbent starts as best-fit decreasing. A filling is used as often as the counts allow, so there
-are at most as many distinct fillings as lengths, and the plan (length, range of its pieces -> sequence, offset) is of bounded size.
+what the best packing known allows. That incumbent starts as best-fit decreasing. A filling is used as often as the counts allow, which leaves some length with
+fewer than the filling needs, so the number of different fillings follows that of lengths, not of pieces, and so does the plan (length, range of its
+pieces -> sequence, offset).
 
 Pieces of a length are numbered in salted groups with offsets, never in one task, and find their place by binary search in the
 broadcast plan. Defined results: null or empty text has the end id alone; rows are packed whatever their id, a null id included; repeated
