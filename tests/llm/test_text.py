@@ -110,6 +110,23 @@ def test_pack_counts_against_search():
     assert worse <= 1
 
 
+@pytest.mark.parametrize("bins,capacity,parts", [(6, 100, 3), (10, 100, 3), (12, 400, 4), (10, 4096, 3)])
+def test_pack_counts_finds_full_sequences(bins, capacity, parts):
+    for seed in range(20):
+        rng = random.Random(seed)
+        counts = {}
+        for _ in range(bins):
+            cuts = sorted(rng.sample(range(capacity // 8, capacity - capacity // 8), parts - 1))
+            for a, b in zip([0, *cuts], [*cuts, capacity], strict=True):
+                counts[b - a] = counts.get(b - a, 0) + 1
+        plan = packing.pack_counts(counts, capacity)
+        used = {}
+        for f, n in plan:
+            for s in f:
+                used[s] = used.get(s, 0) + n
+        assert used == counts and sum(n for _, n in plan) == bins
+
+
 def test_pack_counts_of_many_short_ones():
     for counts in ({1: 50_000}, {1: 20_000, 4000: 30, 4096: 5}, {2: 9_000, 3: 9_000, 4095: 3}):
         plan = packing.pack_counts(counts)

@@ -2,9 +2,9 @@
 
 Documents are tokenised, an end id is added, and those longer than a sequence are cut into full pieces and a rest. Only the number of pieces of
 each length (at most one count per length up to the sequence's) reaches the driver. There a depth-first branch and
-bound completes one bin at a time around the largest length left: it enumerates undominated fillings (largest lengths first, so no
-filling is tried whose parts fit inside a larger length that is still there), keeps those of least waste and prunes where the waste so far exceeds
-what the best packing known allows. That incumbent starts as best-fit decreasing. A filling is used as often as the counts allow, which leaves some length with
+bound completes one bin at a time around the largest length left: it enumerates undominated fillings (none whose parts fit inside a larger length that
+is still there), of equal waste too, goes back over any step and prunes where the waste so far exceeds what the best packing known allows.
+That incumbent starts as the better of a greedy completion and best-fit decreasing; the search ends at ceil(total / capacity) or after ``BRANCHES`` steps, however long the plan. A filling is used as often as the counts allow, which leaves some length with
 fewer than the filling needs, so the number of different fillings follows that of lengths, not of pieces, and so does the plan (length, range of its
 pieces -> sequence, offset).
 
@@ -28,8 +28,8 @@ from .bpe import KEPT, Codec, default_path, model_bytes
 from .common import materialize, read_table, small_batches
 
 CAPACITY, END = 4096, 1
-#: Fillings looked at for each bin, and bins completed in all by descents that branch off when the bound isn't met.
-FILLINGS, BRANCHES = 400, 20_000
+#: Steps of the short search for a bin's first filling, and of all searches that branch off while the bound isn't met.
+FILLINGS, BRANCHES = 400, 400_000
 #: Rows that are numbered in one group.
 GROUP = 200_000
 
@@ -158,86 +158,183 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> int:
     return bins
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: int, most: int = FILLINGS) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of room with at most the allowed waste, best first: (waste, lengths from large to small).
+def dominated(filling: tuple[int, ...], lost: int, spare: list[int]) -> bool:
+    """Whether some of the filling's lengths fit inside a larger one that is still there and fits in their place.
 
-    Lengths are descending. A part is only left out for smaller ones, so a filling whose parts would fit inside a larger length still
-    there isn't made unless the larger one leaves more waste; the search ends at the first filling without waste."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    best = allowed + 1
-    looked = 0
+    lost: the filling's waste; spare: lengths left when the filling is taken. The packing loses nothing by the exchange, as the smaller ones fit where
+    the larger one was."""
+    one = several = 0  # bit s: a single length, or several, with sum s
+    for size in filling:
+        several |= (one | several) << size
+        one |= 1 << size
+    any_sum = one | several
+    for x in spare:
+        low = max(1, x - lost)
+        if several >> x & 1 or (low < x and any_sum >> low & ((1 << (x - low)) - 1)):
+            return True
+    return False
 
-    def search(at: int, left: int, chosen: tuple[tuple[int, int], ...]) -> bool:
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, allowed: list[int], looked: list[int], most: int):
+    """Yields undominated fillings of room with at most allowed[0] waste, which may shrink meanwhile: (waste, lengths from large to small).
+
+    Lengths are descending. Parts are tried from the largest, as many as fit first. looked[0] counts the steps of the search, which ends early, short of
+    fillings, only where that reaches most."""
+
+    def search(at: int, left: int, chosen: tuple[tuple[int, int], ...]):
         """Goes as deep as a filling has different lengths, at most the square root of twice the room."""
-        nonlocal best, looked
-        looked += 1
+        looked[0] += 1
         lo, hi = at, len(lengths)
         while lo < hi:  # the first length that fits
             mid = (lo + hi) // 2
             lo, hi = (mid + 1, hi) if lengths[mid] > left else (lo, mid)
-        any_fits = False
         for k in range(lo, len(lengths)):
             size = lengths[k]
             for n in range(min(counts[size], left // size), 0, -1):
-                any_fits = True
-                done = search(k + 1, left - n * size, (*chosen, (size, n)))
-                if done or looked >= most:
-                    return done
-        if not any_fits and left < best:
-            best = left
-            found.append((left, tuple(s for s, n in chosen for _ in range(n))))
-        return best == 0
-
-    search(0, room, ())
-    return sorted(found)
+                if looked[0] >= most:
+                    return
+                yield from search(k + 1, left - n * size, (*chosen, (size, n)))
+        if left <= allowed[0]:
+            used = dict(chosen)
+            spare = [size for size in lengths if counts[size] > used.get(size, 0)]
+            if not spare or spare[-1] > left:  # else one more fits
+                filling = tuple(s for s, n in chosen for _ in range(n))
+                if not dominated(filling, left, [x for x in spare if x <= room]):
+                    yield left, filling
+
+    yield from search(0, room, ())
+
+
+class Packing:
+    """A partial packing: counts left, fillings taken with their times, waste so far, steps of all searches."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.counts, self.capacity = counts, capacity
+        self.total = sum(k * v for k, v in counts.items())
+        self.looked = [0]
+        self.clear()
+
+    def clear(self) -> None:
+        self.left, self.plan, self.waste = dict(self.counts), [], 0
+        self.lengths = sorted(self.left, reverse=True)
+
+    def take(self, filling: tuple[int, ...], times: int) -> None:
+        for size in filling:
+            self.left[size] -= times
+        self.waste += (self.capacity - sum(filling)) * times
+        self.plan.append((filling, times))
+        self.lengths = [size for size in self.lengths if self.left[size]]
+
+    def undo(self) -> None:
+        filling, times = self.plan.pop()
+        back = [size for size in set(filling) if not self.left[size]]
+        for size in filling:
+            self.left[size] += times
+        self.waste -= (self.capacity - sum(filling)) * times
+        if back:
+            self.lengths = sorted(self.lengths + back, reverse=True)
+
+    def first(self) -> tuple[int, ...]:
+        """A filling of little waste around the largest length left, from a short search."""
+        big, best, allowed, looked = self.lengths[0], None, [self.capacity], [0]
+        self.left[big] -= 1
+        others = self.lengths if self.left[big] else self.lengths[1:]
+        for lost, rest in fillings(others, self.left, self.capacity - big, allowed, looked, FILLINGS):
+            best, allowed[0] = (lost, rest), lost - 1
+            if not lost:
+                break
+        self.left[big] += 1
+        self.looked[0] += looked[0]
+        if best:
+            return (big, *best[1])
+        filling, room = [big], self.capacity - big  # the short search found none: largest first
+        for size in others:
+            n = min(self.left[size] - (size == big), room // size)
+            filling += [size] * n
+            room -= n * size
+        return tuple(filling)
+
+    def times(self, filling: tuple[int, ...]) -> int:
+        return min(self.left[size] // filling.count(size) for size in set(filling))
+
+    def options(self, limit: int, most: int):
+        """Yields every (filling, times) that may lead to at most limit sequences: the first one, all others, then all with fewer times."""
+        big = self.lengths[0]
+        slack = limit * self.capacity - self.total - self.waste
+        after = self.plan[-1][0] if self.plan else None  # taken fewer times than it could be, so not again
+        bounded = lambda f: min(self.times(f), slack // (self.capacity - sum(f)) if sum(f) < self.capacity else 1 << 60)
+        start = self.first()
+        tried = {}
+        if start != after and (n := bounded(start)):
+            tried[start] = n
+            yield start, n
+        self.left[big] -= 1
+        others, counts = (self.lengths if self.left[big] else self.lengths[1:]), dict(self.left)
+        self.left[big] += 1
+        for _, rest in fillings(others, counts, self.capacity - big, [slack], self.looked, most):
+            filling = (big, *rest)
+            if filling not in tried and filling != after and (n := bounded(filling)):
+                tried[filling] = n
+                yield filling, n
+        for fewer in range(1, max(tried.values(), default=0)):
+            for filling, n in tried.items():
+                if n > fewer:
+                    yield filling, n - fewer
+
+    def search(self, limit: int, most: int) -> bool:
+        """Depth first from here, back over any step, until at most limit sequences suffice (then plan holds them) or looked reaches most."""
+        floor = len(self.plan)
+        stack = []
+        while self.lengths:
+            if len(stack) == len(self.plan) - floor:
+                stack.append(self.options(limit, most))
+            taken = next(stack[-1], None) if self.looked[0] < most else None
+            if taken:
+                self.take(*taken)
+            else:
+                stack.pop()
+                if not stack or self.looked[0] >= most:
+                    return False
+                self.undo()
+        return True
 
 
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings and how many sequences have each, as few sequences in all as the search finds."""
+    """Fillings and how many sequences have each, as few sequences in all as the search finds.
+
+    Half of the search's ``BRANCHES`` steps go depth first through the whole tree, the others through what follows another choice at each of
+    the best plan's steps in turn; both end at the bound ceil(total / capacity)."""
     counts = {k: v for k, v in counts.items() if v}
-    total = sum(k * v for k, v in counts.items())
-    least = -(-total // capacity)
-    bound = best_fit_decreasing(counts, capacity)
-
-    def complete(limit: int | None, skip: dict[int, int]) -> list[tuple[tuple[int, ...], int]] | None:
-        """One descent; limit: stop where the waste allows no packing of fewer bins; skip: at these bins the next best filling."""
-        left = dict(counts)
-        lengths = sorted(left, reverse=True)
-        plan, waste, step = [], 0, 0
-        while lengths:
-            big = lengths[0]
-            left[big] -= 1
-            others = lengths if left[big] else lengths[1:]
-            options = fillings(others, left, capacity - big, capacity)
-            left[big] += 1
-            lost, rest = options[min(skip.get(step, 0), len(options) - 1)] if options else (capacity - big, ())
-            filling = (big, *rest)
-            need: dict[int, int] = {}
-            for size in filling:
-                need[size] = need.get(size, 0) + 1
-            times = min(left[size] // n for size, n in need.items())
-            for size, n in need.items():
-                left[size] -= n * times
-            plan.append((filling, times))
-            waste += lost * times
-            lengths = [size for size in lengths if left[size]]
-            step += 1
-            if limit is not None and lengths and waste > limit * capacity - total:
-                return None
-        return plan
-
-    best = complete(None, {})
-    size = sum(n for _, n in best)
-    for branch in range(min(200, BRANCHES // max(1, len(best)))):
-        if size <= least:
-            break
-        steps = len(best)
-        skip = {max(0, steps - 1 - branch // 2): 1 + branch % 2}
-        plan = complete(size - 1, skip)
-        if plan and sum(n for _, n in plan) < size:
-            best, size = plan, sum(n for _, n in plan)
-    if size > bound:
+    state = Packing(counts, capacity)
+    while state.lengths:
+        filling = state.first()
+        state.take(filling, state.times(filling))
+    best, size = state.plan, sum(n for _, n in state.plan)
+    if size > best_fit_decreasing(counts, capacity):
         best = _best_fit_plan(counts, capacity)
+        size = sum(n for _, n in best)
+    least = -(-state.total // capacity)
+    state.looked[0] = 0
+    while size > least:
+        state.clear()
+        if not state.search(size - 1, state.looked[0] + (BRANCHES - state.looked[0]) // 2):
+            break
+        best, size = state.plan, sum(n for _, n in state.plan)
+    at = 0
+    while size > least and at < len(best) and state.looked[0] < BRANCHES:
+        state.clear()
+        for filling, times in best[:at]:
+            state.take(filling, times)
+        most = state.looked[0] + max(2 * FILLINGS, (BRANCHES - state.looked[0]) // (len(best) - at))
+        at += 1
+        if state.waste > (size - 1) * capacity - state.total:
+            break
+        choices = (c for c in state.options(size - 1, most) if c != best[at - 1])
+        if (other := next(choices, None)) is None:
+            continue
+        state.take(*other)
+        if state.search(size - 1, most):
+            best, size, at = state.plan, sum(n for _, n in state.plan), 0
     return best
 
 
