@@ -239,3 +239,15 @@ def test_url_filter(spark):
 
 def test_fixture_covers_hard_texts():
     assert None in texts() and "" in texts()
+
+
+def test_rare_languages_are_learned_and_foreign_text_is_rejected(spark):
+    rng = random.Random(8)
+    stock = {"en": "the of and to in that is was for on with by this from".split(), "fr": "le la les des une est dans pour que qui avec sur pas plus".split(), "xx": "kwo zhu qyr vyx jod wuk zzo qip yhr vok".split()}
+    text = lambda lang, n=60: " ".join(rng.choice(stock[lang]) for _ in range(n))
+    rows = [(i, text("en"), "en", "a") for i in range(1500)] + [(2000 + i, text("fr"), "fr", "a") for i in range(600)] + [(5000 + i, text("xx"), "xx", "a") for i in range(6)]
+    rows += [(9000 + i, " ".join("".join(rng.choice("абвгдежзиклмнопрстуфхцчшщыэюя") for _ in range(6)) for _ in range(60)), None, "a") for i in range(5)]
+    out = {r["id"]: r for r in language.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert all(out[5000 + i]["lang"] == "xx" and out[5000 + i]["accepted"] for i in range(6))
+    assert all(out[i]["lang"] == "en" and out[i]["accepted"] for i in range(1500))
+    assert not any(out[9000 + i]["accepted"] for i in range(5))

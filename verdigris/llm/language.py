@@ -1,10 +1,10 @@
 """Language identification by Bayesian fusion of text, declared language, address suffix and host priors.
 
-Text: log likelihood of letter trigrams under each language, trained here on a bounded sample (``TRAIN_ROWS`` rows with a declared
-language, smallest hashed ids); the mean over the whole text counts as ``EVIDENCE`` trigrams at most, so no text outweighs everything by length alone.
+Text: log likelihood of letter trigrams under each language, trained here on a bounded sample (about ``TRAIN_ROWS`` rows of each declared
+language with ``LEAST_ROWS`` or more, by hashed ids); the mean over the whole text counts as ``EVIDENCE`` trigrams at most, so no text outweighs everything by length alone.
 Declared markup language and address suffix: their shares among texts of each language, by grouped aggregation over all rows, smoothed. Host
 prior: the host's own shares of languages, smoothed with its suffix's, those with the corpus's (a hierarchy of Dirichlet means),
-also by grouped aggregation. The posterior is the normalised product; a page is accepted if it holds letters and its
+also by grouped aggregation. The posterior is the normalised product, where text in none of the languages (uniform trigrams, prior ``OTHER``) takes part; a page is accepted if it holds letters and its
 best language has at least ``ACCEPT``.
 
 A row's text is read once; what is shuffled are counts per (host, language), combined before, so a host with a third of all rows is no burden.
@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table, small_batches
 
-TRAIN_ROWS, SLOTS, MAX_LANGUAGES, LEAST_SHARE = 8_000, 1 << 15, 64, 0.005
+#: Rows (about) of each declared language that are trained on, and rows in all that a declared language needs to be learned.
+TRAIN_ROWS, SLOTS, LEAST_ROWS = 8_000, 1 << 15, 2
 EVIDENCE, SMOOTH, HOST_WEIGHT, SUFFIX_WEIGHT, ACCEPT = 200, 0.5, 20.0, 50.0, 0.5
+#: Prior of a text in none of the languages, whose trigrams are as likely in each slot.
+OTHER = 0.01
 BROADCAST_HOSTS = 500_000
 
 _ALPHA: list[np.ndarray] = []
@@ -45,9 +48,7 @@ def trigrams(text: str | None) -> np.ndarray:
 def fit_text(sample: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (slot by language) from (text, declared), a bounded sample."""
     small_batches(sample.sparkSession)
-    shares = sample.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES).collect()
-    total = sum(r["n"] for r in shares)
-    languages = sorted(r["declared"] for r in shares if r["n"] >= max(2, LEAST_SHARE * total))
+    languages = sorted(r["declared"] for r in sample.select("declared").distinct().collect())
     if not languages:
         return [], np.zeros((SLOTS, 0))
 
@@ -58,12 +59,13 @@ def fit_text(sample: DataFrame) -> tuple[list[str], np.ndarray]:
                 sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(text), minlength=SLOTS)
         for lang, n in sums.items():
             at = np.nonzero(n)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "at", "n"])
 
-    known = sample.where(F.col("declared").isin(languages)).select("text", "declared")
+    number = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((SLOTS, len(languages)))
-    for r in known.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():
-        counts[r["at"], languages.index(r["lang"])] = r["n"]  # at most slots x languages
+    found = sample.select("text", "declared").mapInArrow(count, "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    lang, at, n = (c.to_numpy() for c in found.columns)  # at most slots x languages
+    counts[at, lang] = n
     return languages, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * SLOTS))
 
 
@@ -110,10 +112,12 @@ def language_id(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.lower(F.trim(as_column(declared).cast("string"))).alias("declared"),
         hosts.alias("host"), (own if suffix is None else as_column(suffix).cast("string")).alias("suffix"), F.col(text_col).cast("string").alias("text"),
     )
-    sample = rows.where("declared <> '' AND text IS NOT NULL").select("id", "text_hash", "declared", "text")
-    picked = sample.select("id", "text_hash", "declared").orderBy(F.xxhash64("id", "text_hash"), "declared").limit(train_rows).distinct()
-    # Ids are picked first; only the sample's texts are carried on.
-    sample = materialize(sample.join(F.broadcast(picked.select("id", "text_hash")), ["id", "text_hash"], "left_semi").select("text", "declared"), "language-sample")
+    sample = rows.where("declared <> '' AND text IS NOT NULL")
+    sizes = materialize(sample.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS), "language-sizes")
+    # Each language's own share of hashed rows, so that a frequent one takes no rows from others.
+    drawn = F.pmod(F.xxhash64("id", "text_hash"), F.lit(1_000_000_007)) < F.lit(1_000_000_007.0 * train_rows) / F.col("n")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes
+    sample = materialize(sample.join(sizes, "declared").where((F.col("n") <= train_rows) | drawn).select("text", "declared"), "language-sample")
     languages, table = fit_text(sample)
     if not languages:
         return rows.select("id", "text_hash", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
@@ -144,9 +148,12 @@ def language_id(
     none = F.array(*[F.lit(0.0)] * len(languages))
     declared_log, suffix_log, prior = F.coalesce("declared_log", none), F.coalesce("suffix_log", none), F.coalesce("host_prior", base)
     total = F.transform("scores", lambda x, i: x + F.get(declared_log, i) + F.get(suffix_log, i) + F.log(F.get(prior, i)))
-    out = out.withColumn("log", total).withColumn("top", F.array_max("log"))
+    # In no language: uniform trigrams, and evidence as likely as among all texts.
+    among = lambda c: F.log(sum_of(F.transform(c, lambda x, i: F.exp(x) * F.get(base, i))))
+    other = F.least("letters", F.lit(EVIDENCE)) * F.lit(-float(np.log(SLOTS))) + F.log(F.lit(OTHER)) + among(declared_log) + among(suffix_log)
+    out = out.withColumn("log", total).withColumn("top", F.array_max("log")).withColumn("other", other)
     out = out.withColumn("lang", F.element_at(F.array(*[F.lit(lang) for lang in languages]), F.array_position("log", F.col("top")).cast("int")))
-    out = out.withColumn("posterior", F.lit(1.0) / sum_of(F.transform("log", lambda x: F.exp(x - F.col("top")))))
+    out = out.withColumn("posterior", F.lit(1.0) / (F.exp(F.col("other") - F.col("top")) + sum_of(F.transform("log", lambda x: F.exp(x - F.col("top"))))))
     return out.select("id", "text_hash", "lang", "posterior", "text_lang", ((F.col("letters") > 0) & (F.col("posterior") >= ACCEPT)).alias("accepted"))
 
 
