@@ -134,6 +134,13 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_without_an_id_link(spark, monkeypatch):
+    fps = {"a": 0b0, "b": 0b11, "c": 0b1111, "d": 0xFFFF << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    frame = spark.createDataFrame([(7, 1, fps["a"]), (None, 2, fps["b"]), (9, 3, fps["c"]), (None, 4, fps["d"])], "id long, text_hash long, fp long")
+    assert {r["text_hash"]: r["component"] for r in simhash.near_duplicates(frame).collect()} == {1: 7, 2: 7, 3: 7, 4: None}
+
+
 def test_line_dedup(spark):
     data = [(i, f"menu\nbody {i}\n\n  menu  \nlast {i % 2}", "a", None) for i in range(30)] + [(100, None, "a", None), (101, "", "a", None), (102, "menu\nx", "b", None), (103, "menu\ny", None, None)]
     frame = spark.createDataFrame(data, "doc_id long, text string, source string, lines string")

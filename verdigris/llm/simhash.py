@@ -14,7 +14,7 @@ pair: each of its fingerprints names the 65 points within one bit, and fingerpri
 of each other; no point holds more than 65 of them, so this exact way for full buckets is linear. Nothing is capped.
 
 Defined results: null or blank text has fingerprint zero and links like any other; fewer than three words give
-the whole sequence as one shingle; rows with a null id carry their fingerprint's component (null if no row there has an
+the whole sequence as one shingle; rows with a null id link like any other, and a component is its smallest id (null if no row there has an
 id); repeated rows get equal results, one each; an empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
@@ -151,9 +151,10 @@ def links(reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per input row: id, text_hash, fp, component (the smallest id reachable over links)."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
-    found = components(links(reps.where("rep IS NOT NULL")))
-    named = reps.join(found, reps["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-reps")
+    found = components(links(reps.select("fp", F.col("fp").alias("rep")))).withColumnsRenamed({"id": "node", "component": "top"})
+    tops = materialize(reps.join(found, reps["fp"] == found["node"], "left").select("fp", "first", F.coalesce("top", "fp").alias("top")), "simhash-groups")
+    named = tops.join(tops.groupBy("top").agg(F.min("first").alias("component")), "top").select("fp", "component")
     return fps.join(named, "fp").select("id", "text_hash", "fp", "component")
 
 
