@@ -21,12 +21,14 @@ def number(value, digits: int = 3, missing: str = "--") -> str:
 
 
 def marks(cells: Mapping[str, float | None], *, exclude: Sequence[str] = ("oracle",), digits: int = 3, higher_is_better: bool = True) -> dict[str, str]:
-    """best and second of a row on rounded values; excluded ones take no part, fewer than two cells get none."""
-    taking = {k: round(v, digits) for k, v in cells.items() if k not in exclude and v is not None and v == v}
-    if len(taking) < 2:
-        return {}
-    order = sorted(set(taking.values()), reverse=higher_is_better)
-    return {k: "best" if v == order[0] else "second" for k, v in taking.items() if v in order[:2]}
+    """The SQL rule of ranked marks for one row: a cell's mark is its dense rank among the row's rounded values, 1 best and 2 second.
+
+    Excluded and missing cells are out of the ranking, and a row with a single cell left has nothing to rank."""
+    sign = -1 if higher_is_better else 1
+    ranking = {k: sign * round(v, digits) for k, v in cells.items() if k not in exclude and number(v, missing="") != ""}
+    place = {v: i for i, v in enumerate(sorted(set(ranking.values())))}
+    names = ("best", "second") if len(ranking) > 1 else ()
+    return {k: names[place[v]] for k, v in ranking.items() if place[v] < len(names)}
 
 
 def _styled(text: str, mark: str | None) -> str:
