@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-from ..functions.exprs import SEVERITIES, clean, severity_sort_key
+from ..functions.exprs import SEVERITIES, clean, null_safe_join, severity_sort_key
 
 DEFAULT_BY = ("metric", "set_name", "query", "category")
 #: Statistics of the synthetic arm alone, which have no real counterpart.
@@ -27,29 +28,55 @@ def _pearson(x: str, y: str) -> Column:
     return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
+def inversions(x: np.ndarray) -> int:
+    """Pairs of places whose values fall, by comparing one bit of the values' ranks at a time among those that agree in all higher bits."""
+    rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    total = 0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        rank = rank[np.argsort(rank >> (bit + 1), kind="stable")]
+        group, one = rank >> (bit + 1), (rank >> bit) & 1
+        ones = np.cumsum(one)
+        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        before = np.repeat(ones[start] - one[start], np.diff(np.append(start, len(rank))))
+        total += int((ones - before)[one == 0].sum())
+    return total
+
+
+def discordant(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, crossed): pairs of (r, s) whose arms are in opposite order, ties not counted."""
+    kinds = dict(rows.dtypes)
+
+    def count(pdf):
+        order = np.lexsort((pdf["s"].to_numpy(), pdf["r"].to_numpy()))
+        return pdf[list(by)].head(1).assign(crossed=float(inversions(pdf["s"].to_numpy()[order])))
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "crossed double"])
+    return rows.select(*by, "r", "s").groupBy(*by).applyInPandas(count, schema)
+
+
 def correlate(paired: DataFrame, by: Sequence[str] = DEFAULT_BY, *, alpha: float = 0.05, min_n: int = 4, min_defect_samples: int | None = None, p_values: bool = True) -> DataFrame:
     """Pearson (with p, r2 and a Fisher interval), Spearman, Kendall's tau-b and spreads per population.
 
-    Spearman is Pearson of average ranks. tau-b's concordant less discordant pairs come from comparing rows within a
-    population, which holds configs (hundreds at most), not images."""
+    Spearman is Pearson of average ranks. tau-b's discordant pairs are the inversions of one arm in order of the other, counted in n log n
+    over a population's two columns; ties come from counts of equal values. No pair of rows is formed."""
     by = list(by)
     rows = _both(paired, by, min_defect_samples)
     pop = Window.partitionBy(*by)
     ranks = lambda c: F.rank().over(pop.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0
-    rows = rows.withColumns({"rr": ranks("r"), "sr": ranks("s"), "peers": F.collect_list(F.struct("r", "s")).over(pop)})
-    sign = lambda p: F.signum(F.col("r") - p["r"]) * F.signum(F.col("s") - p["s"])
-    rows = rows.withColumn("agree", F.aggregate("peers", F.lit(0.0), lambda a, p: a + sign(p)))
-    tie = lambda c: F.count("*").over(Window.partitionBy(*by, c))
-    rows = rows.withColumns({"tr": tie("r"), "ts": tie("s")})
+    crossed = discordant(rows, by)
+    tie = lambda *c: F.count("*").over(Window.partitionBy(*by, *c))
+    rows = rows.withColumns({"rr": ranks("r"), "sr": ranks("s"), "tr": tie("r"), "ts": tie("s"), "tb": tie("r", "s")})
     found = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), _pearson("r", "s").alias("pearson_r"), _pearson("rr", "sr").alias("spearman_rho"), (F.sum("agree") / 2).alias("agree"),
+        F.count("*").alias("n"), _pearson("r", "s").alias("pearson_r"), _pearson("rr", "sr").alias("spearman_rho"), (F.sum(F.col("tb") - 1) / 2).alias("bt"),
         (F.sum(F.col("tr") - 1) / 2).alias("xt"), (F.sum(F.col("ts") - 1) / 2).alias("yt"),
         F.sum((F.col("tr") - 1) * (2 * F.col("tr") + 5)).alias("x3"), F.sum((F.col("ts") - 1) * (2 * F.col("ts") + 5)).alias("y3"),
         F.sum((F.col("tr") - 1) * (F.col("tr") - 2)).alias("x2"), F.sum((F.col("ts") - 1) * (F.col("ts") - 2)).alias("y2"),
         *[f(c).alias(f"{name}_{a}") for c, name in (("r", "real"), ("s", "synth")) for f, a in ((F.min, "min"), (F.max, "max"), (F.stddev_samp, "sd"))],
     )
+    found = null_safe_join(found, crossed, by) if by else found.crossJoin(crossed)  # one row each without keys
     n = F.col("n").cast("double")
     pairs = n * (n - 1) / 2
+    found = found.withColumn("agree", pairs - F.col("xt") - F.col("yt") + F.col("bt") - 2 * F.col("crossed"))
     capped = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
     found = found.withColumns({c: capped(c) for c in ("pearson_r", "spearman_rho")})
     degenerate = (F.col("n") < min_n) | F.col("pearson_r").isNull()
