@@ -29,7 +29,9 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join where NULL keys meet, with the key columns once."""
+    """Join where NULL keys meet, with the key columns once. Without keys there is nothing to join on: an error, not every pair of rows."""
+    if not on:
+        raise ValueError("a join needs at least one key")
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in on})
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in on], F.lit(True))
     out = left.join(renamed, cond, how)
@@ -51,6 +53,23 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], time: str, tie: str) -> D
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str, *, first: int = 0) -> DataFrame:
+    """df with the place of each row in the order (a total one), without gathering rows in one partition.
+
+    Rows are dealt by ranges of the order and numbered in their partition, after the rows of all partitions before, whose sizes (one for each partition) the
+    driver adds up. The dealt rows are persisted, so that sizes and numbers come from the same ranges."""
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    sizes = sorted((r["__part"], r["count"]) for r in ranged.groupBy("__part").count().collect())
+    starts, at = [], first
+    for part, n in sizes:
+        starts += [F.lit(part), F.lit(at).cast("long")]
+        at += n
+    if not starts:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn(name, (F.create_map(*starts)[F.col("__part")] + place - 1).cast("long")).drop("__part")
+
+
 def severity_rank(c: Column | str) -> Column:
     """0 to 4 on the ladder, NULL off it."""
     c = F.lower(F.trim(F.col(c) if isinstance(c, str) else c))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import SEVERITIES, null_safe_join, passes_gate, severity_rank
+from ..functions.exprs import SEVERITIES, null_safe_join, numbered, passes_gate, severity_rank
 
 #: Parts of a job's seed.
 CROP_STEP, PROMPT_STEP = 1_000_000, 1_000
@@ -60,7 +60,7 @@ def generated_counts(rows: DataFrame) -> DataFrame:
 def shortfall_table(cells: DataFrame, counts: DataFrame, target: int, overrides: DataFrame | None = None) -> DataFrame:
     """have and need of each cell, cells without rows included; overrides (class, target) win over the target."""
     out = cells.join(counts, ["class", "severity"], "left")
-    out = out.join(F.broadcast(overrides), "class", "left") if overrides is not None else out.withColumn("target", F.lit(None).cast("long"))
+    out = out.join(overrides, "class", "left") if overrides is not None else out.withColumn("target", F.lit(None).cast("long"))
     out = out.withColumns({"have": F.coalesce("have", F.lit(0)).cast("long"), "target": F.coalesce(F.col("target").cast("long"), F.lit(target).cast("long"))})
     return out.withColumn("need", F.greatest(F.lit(0), F.col("target") - F.col("have")).cast("long")).select("class", "severity", "have", "target", "need")
 
@@ -115,7 +115,7 @@ def partition_pending(jobs: DataFrame, present: DataFrame) -> DataFrame:
 
 def shard_jobs(jobs: DataFrame, order: Sequence[str], index: int, n: int) -> DataFrame:
     """Every n-th job from index, in the given order."""
-    return jobs.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).where(F.pmod("__i", F.lit(n)) == index).drop("__i")
+    return numbered(jobs, order, "__i").where(F.pmod("__i", F.lit(n)) == index).drop("__i")
 
 
 def expand_grid(spark: SparkSession, grid: dict[str, Sequence]) -> DataFrame:
@@ -182,7 +182,7 @@ def islands(rows: DataFrame, order: str, key: Sequence[str], by: Sequence[str] =
 
 def round_robin(groups: DataFrame, order: str, workers: int) -> DataFrame:
     """Groups dealt to workers in turn."""
-    return groups.withColumn("worker", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(workers)))
+    return numbered(groups, [order], "__i").withColumn("worker", F.pmod("__i", F.lit(workers)).cast("int")).drop("__i")
 
 
 def spread_slots(cards: DataFrame, n_slots: int) -> DataFrame:
@@ -209,7 +209,7 @@ def sample_defects_numpy(samples: DataFrame, max_defects: int, *, seed: int, cat
         return samples
     drawn = np.random.default_rng([seed, zlib.crc32(category.encode())]).choice(n, size=max_defects, replace=False)
     at = samples.sparkSession.createDataFrame([(int(i),) for i in sorted(drawn)], "__at long")
-    return rows.withColumn("__at", F.row_number().over(Window.orderBy(order)) - 1).join(F.broadcast(at), "__at").drop("__at")
+    return numbered(rows, [order], "__at").join(F.broadcast(at), "__at").drop("__at")
 
 
 def pick_samples(rows: DataFrame, k: int, strategy: str, order: str, by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import latest_per_key, null_safe_join
+from ..functions.exprs import latest_per_key, null_safe_join, numbered
 from .correlation import PROXY_ONLY
 
 #: Columns of the metrics table that can be compared between arms.
@@ -43,9 +43,8 @@ def pair_runs(runs: DataFrame, *, group_keys: Sequence[str] | None = None, dupli
     else:
         found = null_safe_join(synth, real, keys)
     configs = found.select(*keys).distinct()
-    order = Window.orderBy(*[F.col(k).asc_nulls_last() for k in keys])
-    numbered = configs.withColumn("model_id", (F.row_number().over(order) - 1).cast("long"))  # one row for each trained model
-    return null_safe_join(found, numbered, keys).select("model_id", "real_run_id", "synth_run_id", "set_name", *keys)
+    models = numbered(configs, [F.col(k).asc_nulls_last() for k in keys], "model_id")
+    return null_safe_join(found, models, keys).select("model_id", "real_run_id", "synth_run_id", "set_name", *keys)
 
 
 def unpaired_runs(runs: DataFrame, *, group_keys: Sequence[str] | None = None) -> DataFrame:

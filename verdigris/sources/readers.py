@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clean_frame, parent_name, path_stem
+from ..functions.exprs import clean_frame, numbered, parent_name, path_stem
 
 #: The columns of per-image scores.
 SCORES_SCHEMA = (
@@ -185,11 +185,9 @@ def write_pools(pools: DataFrame, path: str, n_train: int) -> None:
 
 def chrome_trace(spans: DataFrame) -> DataFrame:
     """Spans as trace events: microsecond start, duration, processes numbered densely."""
-    from pyspark.sql.window import Window
-
-    pids = spans.select("pid").distinct().withColumn("process", F.dense_rank().over(Window.orderBy("pid")) - 1)
+    pids = numbered(spans.select("pid").distinct(), ["pid"], "process")
     start = F.unix_micros(F.col("ts").cast("timestamp")) - (F.col("dur_ms") * 1000).cast("long")
-    return spans.join(F.broadcast(pids), "pid").select(F.to_json(F.struct("name", F.lit("X").alias("ph"), start.alias("ts"), (F.col("dur_ms") * 1000).cast("long").alias("dur"), F.col("process").alias("pid"), F.col("gpu").alias("tid"))).alias("event"))
+    return spans.join(pids, "pid").select(F.to_json(F.struct("name", F.lit("X").alias("ph"), start.alias("ts"), (F.col("dur_ms") * 1000).cast("long").alias("dur"), F.col("process").alias("pid"), F.col("gpu").alias("tid"))).alias("event"))
 
 
 def gpu_samples(samples: DataFrame) -> DataFrame:
