@@ -15,14 +15,17 @@ from pyspark.sql.window import Window
 FPR_LIMIT = 0.3
 
 
-def score_edges(pixels: DataFrame, by: Sequence[str], n_bins: int, strategy: str = "quantile") -> DataFrame:
-    """(by, edges): interior edges, exact linear quantiles (or even steps) without repeats; a constant map has one edge."""
+def score_edges(pixels: DataFrame, by: Sequence[str], n_bins: int, strategy: str = "quantile", accuracy: int | None = None) -> DataFrame:
+    """(by, edges): interior edges, linear quantiles (or even steps) without repeats; a constant map has one edge.
+
+    Quantiles are exact, or with an accuracy off by a rank of at most 1 / accuracy of the pixels, from sketches that combine before their shuffle."""
     steps = [i / n_bins for i in range(1, n_bins)]
     if strategy == "uniform":
         low, high = F.min("score"), F.max("score")
         edges = F.array(*[low + s * (high - low) for s in steps])
     elif strategy == "quantile":
-        edges = F.percentile("score", [*steps]) if len(steps) > 1 else F.array(F.percentile("score", steps[0]))
+        quantiles = F.percentile if accuracy is None else lambda c, at: F.percentile_approx(c, at, accuracy)
+        edges = quantiles("score", [*steps]) if len(steps) > 1 else F.array(quantiles("score", steps[0]))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     return pixels.groupBy(*by).agg(F.array_distinct(edges).alias("edges"))
@@ -45,7 +48,7 @@ def region_weights(pixels: DataFrame, image: Sequence[str] = ("run_id", "image_i
 
 def pixel_histograms(pixels: DataFrame, edges: DataFrame, by: Sequence[str] = ("run_id",), image: Sequence[str] = ("run_id", "image_id")) -> DataFrame:
     """Sparse histograms (image, bin, positive, negative, region_weight, regions starting in the bin)."""
-    rows = region_weights(pixels, image).join(F.broadcast(edges), list(by))
+    rows = region_weights(pixels, image).join(edges, list(by))
     first = F.row_number().over(Window.partitionBy(*image, "region").orderBy("px")) == 1
     rows = rows.withColumn("__first", F.col("region").isNotNull() & first).withColumn("bin", bin_index(F.col("score"), F.col("edges")))
     return rows.groupBy(*image, "bin").agg(
@@ -129,6 +132,44 @@ def region_labels_2d(images: DataFrame, id_cols: Sequence[str], mask: str = "mas
     return images.select(*ids, mask, height, width).mapInPandas(run, schema)
 
 
+def image_edges(images: DataFrame, by: Sequence[str], n_bins: int, strategy: str = "quantile", accuracy: int | None = 100_000) -> DataFrame:
+    """score_edges over the flattened score maps of images."""
+    return score_edges(images.select(*by, F.explode("score").alias("score")), by, n_bins, strategy, accuracy)
+
+
+def image_histograms(images: DataFrame, edges: DataFrame, by: Sequence[str] = ("run_id",), image: Sequence[str] = ("run_id", "image_id")) -> DataFrame:
+    """Sparse histograms (image, bin, positive, negative, region_weight, n_regions) of 2-D masks and score maps (flattened, height, width).
+
+    A region is a 4-connected part of the mask and counts in the bin of its first pixel; each of its pixels weighs 1 / its size. An image is read once and a
+    pixel finds its bin by binary search, so any number of bins will do. Maps that don't fit their shape are an error."""
+    ids = list(image)
+    kinds = dict(images.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ids) + ", bin long, positive long, negative long, region_weight double, n_regions long"
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for rec in pdf.to_dict("records"):
+                mask = np.asarray(rec["mask"]).reshape(int(rec["height"]), int(rec["width"])) > 0
+                score = np.asarray(rec["score"], float)
+                if len(score) != mask.size:
+                    raise ValueError(f"a map of {len(score)} pixels for a mask of {mask.size}")
+                labels = label_regions(mask).ravel()
+                sizes = np.bincount(labels)
+                weight = np.where(labels > 0, 1 / np.maximum(sizes[labels], 1), 0.0)
+                first = np.zeros(len(labels), bool)
+                first[np.unique(labels, return_index=True)[1]] = True
+                bins, at = np.unique(np.searchsorted(np.asarray(rec["edges"], float), score, side="right"), return_inverse=True)
+                count = lambda w, at=at: np.bincount(at, w)
+                columns = (bins, count(labels > 0), count(labels == 0), count(weight), count(first & (labels > 0)))
+                out.append(pd.DataFrame({**{c: [rec[c]] * len(bins) for c in ids}, **dict(zip(("bin", "positive", "negative", "region_weight", "n_regions"), columns, strict=True))}))
+            whole = pd.concat(out) if out else pd.DataFrame(columns=[*ids, "bin", "positive", "negative", "region_weight", "n_regions"])
+            yield whole.astype({"bin": "int64", "positive": "int64", "negative": "int64", "n_regions": "int64"})
+
+    rows = images.select(*dict.fromkeys([*by, *ids]), "mask", "score", "height", "width").join(edges, list(by))
+    return rows.mapInPandas(run, schema)
+
+
 def defect_area_fraction(mask: Column) -> Column:
     """Share of a flattened mask above half of its largest value, to six places; NULL for an empty mask, 0 for a blank one."""
     top = F.array_max(mask).cast("double")

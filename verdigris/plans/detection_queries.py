@@ -114,17 +114,34 @@ def _pixel(name):
 pixel_auroc, pixel_aupr, aupro, positive_pixel_rate = (_pixel(n) for n in ("pixel_auroc", "pixel_aupr", "aupro", "positive_pixel_rate"))
 
 
+def _rasters(spark, sf_dir):
+    """Events as 20-pixel-wide rasters, one for each run; the last row is filled up with blank pixels."""
+    rows = D.scores(spark, sf_dir).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "label", "score"))).alias("s"))
+    rows = rows.withColumns({"height": F.ceil(F.size("s") / 20).cast("int"), "width": F.lit(20)})
+    fill = lambda name, zero: F.concat(F.transform("s", lambda x: x[name]), F.array_repeat(zero, F.col("height") * 20 - F.size("s")))
+    return rows.select("run_id", fill("label", F.lit(0)).alias("mask"), fill("score", F.lit(0.0)).alias("score"), "height", "width")
+
+
 def region_labels_2d(spark, sf_dir):
-    """Events as 20-pixel-wide rasters, one for each run."""
-    rows = D.scores(spark, sf_dir).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "label"))).alias("s"))
-    rows = rows.select("run_id", F.transform("s", lambda x: x["label"]).alias("m")).withColumn("height", F.floor(F.size("m") / 20).cast("int"))
-    images = rows.select("run_id", F.slice("m", 1, F.col("height") * 20).alias("mask"), "height", F.lit(20).alias("width"))
-    return X.region_labels_2d(images, ["run_id"])
+    return X.region_labels_2d(_rasters(spark, sf_dir), ["run_id"])
+
+
+def _hist_2d(spark, sf_dir):
+    images = _rasters(spark, sf_dir).withColumn("image_id", F.lit(0).cast("long"))
+    return X.image_histograms(images, X.image_edges(images, ["run_id"], 16, accuracy=None))
+
+
+def pixel_hist_2d(spark, sf_dir):
+    return rounded(_hist_2d(spark, sf_dir))
+
+
+def pixel_metrics_2d(spark, sf_dir):
+    return rounded(X.pixel_metrics(_hist_2d(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (
     image_auroc, image_aupr, query_metrics, gated_queries, eval_gate, severity_cindex, severity_tau_b, severity_spearman, severity_adjacent, level_pair_auc, severity_report, run_summary,
-    augment_metrics, check_image_auroc, pixel_hist, pixel_auroc, pixel_aupr, aupro, positive_pixel_rate, region_labels_2d)}
+    augment_metrics, check_image_auroc, pixel_hist, pixel_auroc, pixel_aupr, aupro, positive_pixel_rate, region_labels_2d, pixel_hist_2d, pixel_metrics_2d)}
 
 
 def auroc_sql(src: str, keys: str, pos: str = "label = 1") -> str:
@@ -191,3 +208,22 @@ ORACLE_SQL = {k: D.with_views(v) for k, v in {
     "aupro": f"""{CURVE} SELECT run_id, round(sum(CASE WHEN fpr0 < 0.3 AND fpr > fpr0 THEN (least(fpr, 0.3) - fpr0) * (pro0 + CASE WHEN fpr <= 0.3 THEN pro ELSE pro0 + (0.3 - fpr0) / (fpr - fpr0) * (pro - pro0) END) / 2 ELSE 0 END) / 0.3, 10) AS aupro FROM cp GROUP BY run_id""",
     "positive_pixel_rate": "SELECT run_id, round(avg(label), 10) AS positive_pixel_rate FROM fx_pixels GROUP BY run_id",
 }.items()}
+
+#: 2-D regions: the smallest pixel number that a lit pixel reaches over lit neighbours names its region.
+RASTER = """rs AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY sample_id) - 1 AS p, label, score FROM fx_scores), sz AS (SELECT run_id, count(*) AS n, CAST(ceil(count(*) / 20.0) AS BIGINT) * 20 AS m FROM rs GROUP BY run_id),
+px AS (SELECT run_id, p, label, score FROM rs UNION ALL SELECT run_id, n + i, 0, 0.0 FROM sz CROSS JOIN (SELECT unnest(range(20)) AS i) WHERE n + i < m), lt AS (SELECT run_id, p FROM px WHERE label = 1),
+ad AS (SELECT a.run_id, a.p, b.p AS q FROM lt a JOIN lt b ON a.run_id = b.run_id AND (b.p = a.p + 20 OR b.p = a.p - 20 OR (b.p = a.p + 1 AND a.p % 20 <> 19) OR (b.p = a.p - 1 AND a.p % 20 <> 0))),
+rc AS (SELECT run_id, p, p AS root FROM lt UNION SELECT rc.run_id, ad.q, rc.root FROM rc JOIN ad ON rc.run_id = ad.run_id AND rc.p = ad.p WHERE ad.q > rc.root),
+rl AS (SELECT run_id, p, min(root) AS root FROM rc GROUP BY run_id, p), rz AS (SELECT run_id, root, count(*) AS size FROM rl GROUP BY run_id, root)"""
+HIST_2D = f"""{RASTER}, ed AS (SELECT run_id, list_distinct([{', '.join(f'quantile_cont(score, {i} / 16.0)' for i in range(1, 16))}]) AS edges FROM px GROUP BY run_id),
+bn AS (SELECT px.run_id, 0 AS image_id, px.p, px.label, len(list_filter(edges, lambda e: e <= px.score)) AS bin, coalesce(1.0 / rz.size, 0.0) AS weight, CASE WHEN rl.root = px.p THEN 1 ELSE 0 END AS s
+  FROM px JOIN ed ON px.run_id = ed.run_id LEFT JOIN rl ON px.run_id = rl.run_id AND px.p = rl.p LEFT JOIN rz ON rl.run_id = rz.run_id AND rl.root = rz.root),
+hg AS (SELECT run_id, image_id, bin, count(*) FILTER (label = 1) AS positive, count(*) FILTER (label <> 1) AS negative, sum(weight) AS region_weight, sum(s) AS n_regions FROM bn GROUP BY ALL)"""
+_RECURSIVE = {
+    "region_labels_2d": f"{RASTER} SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY root) AS INT) AS region, size FROM rz",
+    "pixel_hist_2d": f"{HIST_2D} SELECT run_id, CAST(image_id AS BIGINT) AS image_id, bin, positive, negative, round(region_weight, 10) AS region_weight, CAST(n_regions AS BIGINT) AS n_regions FROM hg",
+    "pixel_metrics_2d": f"""{HIST_2D}{CURVE[len(HIST):]} SELECT run_id, round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 10) AS pixel_auroc, round(sum((tpr - tpr0) * CASE WHEN pred > 0 THEN tp / pred ELSE 1 END), 10) AS pixel_aupr,
+      round(sum(CASE WHEN fpr0 < 0.3 AND fpr > fpr0 THEN (least(fpr, 0.3) - fpr0) * (pro0 + CASE WHEN fpr <= 0.3 THEN pro ELSE pro0 + (0.3 - fpr0) / (fpr - fpr0) * (pro - pro0) END) / 2 ELSE 0 END) / 0.3, 10) AS aupro,
+      round(any_value(ht.pt / (ht.pt + ht.nt)), 10) AS positive_pixel_rate FROM cp JOIN ht USING (run_id) GROUP BY run_id""",
+}
+ORACLE_SQL |= {k: D.with_views(v).replace("WITH ", "WITH RECURSIVE ", 1) for k, v in _RECURSIVE.items()}
