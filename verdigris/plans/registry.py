@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("selection_queries", "proxy_queries", "detection_queries", "corpus_queries", "kernel_queries")
+_PARTS = ("selection_queries", "proxy_queries", "detection_queries", "corpus_queries", "kernel_queries", "rebuild_queries")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
