@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 _SHIPPED: dict[str, str] = {}
+_HELD: dict = {}
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -44,7 +50,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs a reread and not a recomputation, and only needed columns are read later."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -53,6 +61,15 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Removes materialised tables that nothing reads any more, and lets the driver's cleaner drop the shuffle files of steps that are done."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            remove(df.sparkSession, path)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _WRITTEN:
@@ -67,6 +84,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names like these that no column of df has or starts with."""
+    mark = "vg"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return tuple(f"{mark}{name}" for name in names)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once a session, so executors needn't have it installed."""
     sc = spark.sparkContext
@@ -84,13 +109,30 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED["app"] = sc.applicationId
 
 
-def small_batches(spark: SparkSession, rows: int = 500, mb: int = 16) -> None:
+def small_batches(spark: SparkSession, rows: int = 500, mb: int = 8) -> None:
     """Bounds what an Arrow batch of whole texts holds in a Python worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
+def held(kind: str, model: bytes, make):
+    """The model that this Python worker works with. A worker keeps one model between tasks, not one of each kind that it ever met."""
+    if (kind, model) not in _HELD:
+        let_go()
+        _HELD[kind, model] = make(model)
+    return _HELD[kind, model]
+
+
+def let_go() -> None:
+    """Frees the model that this worker kept from another operator's tasks."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # freed pages go back only where the C library can do that
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
