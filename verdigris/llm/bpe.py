@@ -3,9 +3,11 @@
 A pre-token's symbols are the leaves' left ends: leaf i holds the rank of the pair of symbol i and its successor, joined
 with i, so the root is the lowest-ranked pair and of equals the leftmost. A merge changes three leaves (the pair itself, its left
 neighbour's and the swallowed symbol's) and the nodes above them, a logarithmic number of points, until the root is empty. The trees of
-many pre-tokens stand side by side in NumPy arrays (node by pre-token), so one step merges a pair in each of them.
+many pre-tokens stand side by side in NumPy arrays (node by pre-token), so one step merges a pair in each of them. A pre-token of more
+than ``WIDE`` bytes has a tree of its own, where a step merges all pairs of the root's rank at once, from left to right: pairs that a merge makes rank
+behind it in any trained file (else they go one by one), so the order of merges stays the same.
 
-Encoded pre-tokens are remembered per Python worker in two generations of at most ``KEPT`` entries, which bounds memory; texts
+Encoded pre-tokens are remembered per Python worker in two generations of about ``KEPT_BYTES`` and at most ``KEPT`` entries each, which bounds memory; texts
 are otherwise independent rows, so nothing is shuffled. The vocabulary file is read once on the driver and broadcast: its size is that of the
 file (at most ``MODEL_BYTES``).
 
@@ -17,16 +19,19 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import held, read_table, small_batches
 
 KEPT, MODEL_BYTES, NONE = 250_000, 64 << 20, np.int64(1) << 60
+#: Bytes (about) of a generation of remembered pre-tokens, what an entry takes beside its text and ids, and the size of one step's trees.
+KEPT_BYTES, ENTRY_BYTES, TREES = 32 << 20, 180, 1 << 17
+#: Bytes from which a pre-token gets a tree of its own.
+WIDE = 256
 WHITE = r"\t-\r \x85\xa0  -     　"
 #: The pattern that byte-level tokenizers of this family split text with.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -52,6 +57,31 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(shift)) for b in range(256)]
 
 
+class Remembered:
+    """Ids by text in two generations: what is asked for moves to the young one; when that is full, the old one goes."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """Those of wanted that aren't remembered; all others are young afterwards."""
+        rest = wanted.difference(self.young)
+        if again := self.old.keys() & rest:
+            self.add({t: self.old[t] for t in again})
+            rest -= again
+        return rest
+
+    def add(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+
+    def trim(self) -> None:
+        if self.size > KEPT_BYTES or len(self.young) > KEPT:
+            self.old, self.young, self.size = self.young, {}, 0
+
+
 class Codec:
     def __init__(self, model: bytes):
         import regex
@@ -75,12 +105,15 @@ class Codec:
         self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)  # a word's end is part of b
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
+        made = np.full(self.base, -1, np.int64)
+        made[self.merged] = np.arange(len(merges))
+        parts = keys // self.base, keys % self.base
+        self.rising = all(bool((made[p] < np.arange(len(merges))).all()) for p in parts)
         self.added = {t["content"]: np.uint32(t["id"]).tobytes() for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.split = regex.compile(PATTERN)
         self.odd = regex.compile(rf"[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]|^[ \n]|[ \n]\Z")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.kept = Remembered()
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where it doesn't merge."""
@@ -95,7 +128,11 @@ class Codec:
         widths = np.maximum(2, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         for width in np.unique(widths).tolist():
             rows = np.nonzero(widths == width)[0]
-            step = max(1, (1 << 20) // width)
+            if width > WIDE and self.rising:
+                for i in rows.tolist():
+                    out[i] = self._merge_wide(words[i], width)
+                continue
+            step = max(1, TREES // width)
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
                 for i, ids in zip(part.tolist(), self._merge(words, part, sizes[part], width), strict=True):
@@ -156,32 +193,59 @@ class Codec:
         ends = np.cumsum(alive.sum(axis=1)) * 4
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def lookup(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks (texts that no pre-token leaves), from memory or merged now."""
-        found, missing = {}, []
-        for c in chunks:
-            ids = self.young.get(c)
-            if ids is None:
-                ids = self.old.get(c)
-                if ids is None:
-                    missing.append(c)
-                    continue
-                self.young[c] = ids
-            found[c] = ids
-        if missing:
-            split = self.split.findall
-            parts = [[c] if c[1:].isalpha() and c[0] == " " else split(c) for c in missing]
-            wanted = {p for ps in parts for p in ps if p not in found}
-            known = {p: ids for p in wanted if (ids := self.young.get(p) or self.old.get(p)) is not None}
-            fresh = [p for p in wanted if p not in known]
-            known.update(zip(fresh, self.merge([p.encode() for p in fresh]), strict=True))
-            self.young.update(known)
-            for c, ps in zip(missing, parts, strict=True):
-                found[c] = ids = known[ps[0]] if len(ps) == 1 and ps[0] in known else b"".join([known[p] if p in known else found[p] for p in ps])
-                self.young[c] = ids
-        if len(self.young) > KEPT:
-            self.old, self.young = self.young, {}
-        return found
+    def _merge_wide(self, word: bytes, width: int) -> bytes:
+        """The same for one long pre-token, whose pairs of the lowest rank are all merged in one step."""
+        size, depth = len(word), width.bit_length() - 1
+        symbol = self.symbols[np.frombuffer(word, np.uint8)]
+        if self.ending:
+            symbol[-1] = self.last_symbols[word[-1]]
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        tree = np.full(2 * width, NONE)
+        tree[width : width + size - 1] = self.ranks(symbol[:-1], symbol[1:])
+        for level in range(depth - 1, -1, -1):
+            at = slice(1 << level, 2 << level)
+            tree[at] = np.minimum(tree[2 << level : 4 << level : 2], tree[(2 << level) + 1 : 4 << level : 2])
+        while (low := tree[1]) < NONE:
+            here = np.ones(1, np.int64)
+            for _ in range(depth):
+                here = np.stack((2 * here, 2 * here + 1), axis=1).ravel()
+                here = here[tree[here] == low]
+            here -= width
+            place = np.arange(len(here))
+            follows = np.concatenate(([False], after[here[:-1]] == here[1:]))
+            here = here[(place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0]  # of overlapping pairs every other one
+            gone = after[here]
+            then = after[gone]
+            new = self.merged[low]
+            symbol[here], symbol[gone], after[here] = new, -1, then
+            some = then < size
+            before[then[some]] = here[some]
+            changed = [gone]
+            tree[gone + width] = NONE
+            for left in (here, before[here][before[here] >= 0]):
+                right = after[left]
+                last = right >= size
+                found = self.ranks(symbol[left], symbol[np.where(last, 0, right)])
+                tree[left + width] = np.where(last, NONE, found)
+                changed.append(left)
+            node = np.unique(np.concatenate(changed)) + width
+            for _ in range(depth):
+                node >>= 1
+                node = node[np.concatenate(([True], node[1:] != node[:-1]))]
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+        return symbol[symbol >= 0].astype("<u4").tobytes()
+
+    def remember(self, chunks: set[str]) -> None:
+        """Sees that the ids of chunks (texts that no pre-token leaves) are in kept.young."""
+        missing = list(self.kept.missing(chunks))
+        if not missing:
+            return
+        split = self.split.findall
+        parts = [(c,) if c[1:].isalpha() and c[0] == " " else split(c) for c in missing]
+        fresh = list(self.kept.missing({p for ps in parts for p in ps}))
+        self.kept.add(dict(zip(fresh, self.merge([p.encode() for p in fresh]), strict=True)))
+        get = self.kept.young.__getitem__
+        self.kept.add({c: b"".join(map(get, ps)) for c, ps in zip(missing, parts, strict=True) if len(ps) != 1 or ps[0] != c})
 
     def chunks(self, text: str) -> list[str]:
         """Text cut where no pre-token crosses, or into pre-tokens and added tokens where its white space isn't plain."""
@@ -202,16 +266,18 @@ class Codec:
                 cut.append([x for i, part in enumerate(self.special.split(text)) for x in ([self.added[part]] if i % 2 else self.chunks(part))])
             else:
                 cut.append(self.chunks(text))
-        get = self.lookup({c for cs in cut for c in cs if c.__class__ is str}).__getitem__
-        return [b"".join([c if c.__class__ is bytes else get(c) for c in cs] if odd else map(get, cs)) for cs, odd in zip(cut, mixed, strict=True)]
+        self.remember(set().union(*[cs for cs, odd in zip(cut, mixed, strict=True) if not odd]) | {c for cs, odd in zip(cut, mixed, strict=True) if odd for c in cs if c.__class__ is str})
+        get = self.kept.young.__getitem__
+        out = [b"".join([c if c.__class__ is bytes else get(c) for c in cs] if odd else map(get, cs)) for cs, odd in zip(cut, mixed, strict=True)]
+        self.kept.trim()
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(2)
 def codec(model: bytes) -> Codec:
-    return Codec(model)
+    return held("bpe", model, Codec)
 
 
 def _texts(column: pa.Array) -> list[str]:

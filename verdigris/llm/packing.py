@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import KEPT, Codec, default_path, model_bytes
-from .common import materialize, read_table, small_batches
+from .bpe import Codec, default_path, model_bytes
+from .common import held, materialize, read_table, small_batches
 
 CAPACITY, END = 4096, 1
 #: Steps of the short search for a bin's first filling, and of all searches that branch off while the bound isn't met.
@@ -36,6 +35,9 @@ GROUP = 200_000
 
 #: The pattern that this kind of tokenizer splits normalised text with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for plain chunks, whose letters are Latin ones and whose numbers are digits.
+LATIN = "a-z" + "".join(chr(c) for c in range(0xC0, 0x180) if chr(c).isalpha() and chr(c) == chr(c).lower())
+PLAIN_PATTERN = PATTERN.replace(r"\p{L}", LATIN).replace(r"\p{N}", "0-9")
 
 
 class Words:
@@ -47,8 +49,6 @@ class Words:
     def __init__(self, model: bytes):
         import os
 
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,53 +56,37 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.codec = Codec(model)
-        self.split = regex.compile(PATTERN).findall
+        self.split = re.compile(PLAIN_PATTERN).findall
         self.plain = re.compile("[!-;=-~\u00c0-\u012f\u0131-\u017f]+").fullmatch  # without <, which starts special tokens
         self.odd = re.compile("[\x1c-\x1f]").search
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.kept = self.codec.kept
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def known(self, chunk: str) -> bytes | None:
-        ids = self.young.get(chunk)
-        if ids is None:
-            ids = self.old.get(chunk)
-            if ids is not None:
-                self.young[chunk] = ids
-        return ids
+    def remember(self, chunks: set[str]) -> None:
+        """Sees that the ids of chunks are in kept.young."""
+        fast, slow = [], []
+        for c in self.kept.missing(chunks):
+            (fast if self.plain(c) else slow).append(c)
+        self.kept.add(dict(zip(slow, self.whole(slow), strict=True)))
+        parts = [(low,) if (low := c.lower()).isalpha() else self.split(low) for c in fast]
+        fresh = list(self.kept.missing({p for ps in parts for p in ps}))
+        self.kept.add(dict(zip(fresh, self.codec.merge([p.encode() for p in fresh]), strict=True)))
+        get = self.kept.young.__getitem__
+        self.kept.add({c: get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for c, ps in zip(fast, parts, strict=True) if ps[0] != c})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.odd(t) else t.split() for t in texts]
-        found, fast, slow = {}, [], []
-        for c in set().union(*[x for x in cut if x]):
-            ids = self.known(c)
-            if ids is not None:
-                found[c] = ids
-            elif self.plain(c):
-                fast.append(c)
-            else:
-                slow.append(c)
-        found.update(zip(slow, self.whole(slow), strict=True))
-        parts = [self.split(c.lower()) for c in fast]
-        tokens = {}
-        for p in {p for ps in parts for p in ps}:
-            tokens[p] = self.known(p)
-        fresh = [p for p, ids in tokens.items() if ids is None]
-        tokens.update(zip(fresh, self.codec.merge([p.encode() for p in fresh]), strict=True))
-        for c, ps in zip(fast, parts, strict=True):
-            found[c] = tokens[ps[0]] if len(ps) == 1 else b"".join([tokens[p] for p in ps])
-        self.young.update(tokens)
-        self.young.update(found)
-        if len(self.young) > KEPT:
-            self.old, self.young = self.young, {}
-        return [self.whole([t])[0] if c is None else b"".join(map(found.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
-
-
-@lru_cache(2)
+        self.remember(set().union(*[x for x in cut if x]))
+        get = self.kept.young.__getitem__
+        out = [self.whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        self.kept.trim()
+        return out
+
+
 def words(model: bytes) -> Words:
-    return Words(model)
+    return held("words", model, Words)
 
 
 def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
