@@ -7,6 +7,8 @@ content (the file it was read from) and the number of rows. Only rows whose dige
 text read again; their full bytes are compared with the keeper's, and rows that differ in spite of equal digests are
 regrouped by their whole text.
 
+Rows to compare are dealt in salted groups of about ``GROUP``, each with a copy of the keeper's text, so a digest of a third of all rows loads no task.
+
 Defined results: null text counts as empty and all empty texts are equal; a null id never wins over
 another id, and in a group of null ids keep_id is null; repeated rows (same id, same text) count each, and each of
 them is marked kept if their id is the smallest; an empty table gives an empty result; further columns are ignored.
@@ -20,8 +22,12 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, materialize, read_table, scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Rows of ids that may be broadcast to pick the texts to reread (16 bytes each); beyond, a shuffle join does it.
-BROADCAST_IDS = 2_000_000
+#: Rows (id, hash, digest) that may be broadcast to pick the texts to reread; beyond, a shuffle join does it.
+BROADCAST_IDS = 200_000
+#: Rows of a digest that are compared with its keeper in one group.
+GROUP = 1_000
+#: MB that all state stores of an executor may hold in memory together.
+STATE_MB = 128
 
 
 def normalized(text: Column) -> Column:
@@ -47,6 +53,7 @@ def keyed_state(rows_path: str, schema, spark: SparkSession, files_per_batch: in
     rocksdb = "spark.sql.streaming.stateStore.rocksdb"
     held = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        f"{rocksdb}.boundedMemoryUsage": "true", f"{rocksdb}.maxMemoryUsageMB": str(STATE_MB),
         f"{rocksdb}.allowFAllocate": "false", f"{rocksdb}.changelogCheckpointing.enabled": "true",  # many small stores: no space set aside
     }
     old = {k: spark.conf.get(k, None) for k in held}
@@ -82,8 +89,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = spark.read.schema(rows.schema).parquet(path)
     state = keyed_state(path, rows.schema, spark, files_per_batch)
     hits = materialize(state.where("n > 1"), "dedup-hits")
-    members = materialize(rows.join(hits.drop("locator"), "digest").select("id", "digest", "keep_id", "n"), "dedup-members")
-    differ = _differing(docs, members, hits, id_col, text_col, digest)
+    members = rows.withColumnRenamed("locator", "file").join(hits, "digest").withColumn("is_keeper", F.col("id").eqNullSafe(F.col("keep_id")) & F.col("file").eqNullSafe(F.col("locator")))
+    members = materialize(members.groupBy("id", "text_hash", "digest").agg(F.first("n").alias("n"), F.bool_or("is_keeper").alias("is_keeper")), "dedup-members")
+    differ = _differing(docs, members, id_col, text_col, digest)
     if differ.isEmpty():
         found = hits.select("digest", "keep_id", "n")
         out = rows.join(found, "digest", "left")
@@ -105,19 +113,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return both.select("id", "text_hash", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_digest"))
 
 
-def _differing(docs: DataFrame, members: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    """Rows of hit digests whose bytes aren't the keeper's: (id, digest, text)."""
+def _differing(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+    """Rows of hit digests whose bytes aren't the keeper's: (id, text_hash, digest, text)."""
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit((1 << 63) - 1))  # noqa: E731  rows without an id are compared too
-    ids = members.select(key("id").alias("_id")).distinct()
-    if members.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(key(id_col).alias("_id"), F.col(id_col).cast("long").alias("_own"), F.col(text_col), F.input_file_name().alias("_file")).join(ids, "_id", "left_semi")
-    texts = texts.select("_id", "_own", "_file", F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), normalized(F.col(text_col)).alias("text"))
-    texts = texts.withColumn("digest", digest(F.col("text")))
-    first = hits.select("digest", key("keep_id").alias("_id"), "locator").hint("shuffle_merge")
-    keepers = texts.join(first, ["digest", "_id"]).where("locator IS NULL OR _file = locator").groupBy("digest").agg(F.min("text").alias("kept_text"))
-    compared = texts.join(keepers.hint("shuffle_merge"), "digest").where("text <> kept_text")
-    return materialize(compared.select(F.col("_own").alias("id"), "text_hash", "digest", "text"), "dedup-differ")
+    docs = docs.select(key(id_col).alias("_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).alias("text"))
+    members = members.select(key("id").alias("_id"), "text_hash", "digest", F.ceil(F.col("n") / F.lit(GROUP)).cast("int").alias("groups"), "is_keeper")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        return docs.join(wanted, ["_id", "text_hash"]).withColumn("text", normalized(F.col("text")))
+
+    keepers = texts(members.where("is_keeper")).groupBy("digest", "groups").agg(F.min("text").alias("kept_text"))
+    keepers = keepers.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    dealt = texts(members.drop("is_keeper")).withColumn("group", F.pmod(F.xxhash64("_id", "text_hash"), F.col("groups")).cast("int"))
+    compared = dealt.join(keepers.hint("shuffle_merge"), ["digest", "group"]).where("text <> kept_text").where(digest(F.col("text")) == F.col("digest"))
+    return materialize(compared.select("id", "text_hash", "digest", "text"), "dedup-differ")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
