@@ -4,22 +4,24 @@ A deterministic, bounded sample of vectors, without those near another of them,
 inverted lists hold, for each pivot, the vectors near it. Two vectors that share at least ``SHARED`` pivots are candidates, and
 their cosine in double precision decides. Linked vectors lie so near each other that they see nearly the same pivots.
 
-A list is cut into blocks of at most ``BLOCK`` vectors and blocks are compared in pairs, each pair of blocks a task of its own, so a pivot that a third
-of all vectors surround is neither capped nor gathered. A pair that meets in several lists counts only in the list of its
-smallest shared pivot. A block pair gives each vector's number of links there and links enough to connect its groups, never all pairs.
-
-The number of pivots grows with the number of vectors up to ``MAX_PIVOTS``, so lists stay short. Equal vectors are compared once: copies
-are counted and joined to their first. Defined results: vectors that are null, empty, zero, or hold null or non-finite parts, and those of
-another length than most, link with nothing and are kept; repeated rows (same id) count as vectors of their own with the same id;
+A list of more than ``BLOCK`` vectors is split by a second pivot: as candidates share two, they meet in the list of their two smallest shared pivots, and lists
+stay short though the number of pivots is bounded. A list that is still longer (a dense group) is cut into blocks that are compared in pairs, each pair of blocks a task of its own,
+so a pivot that a third of all vectors surround is neither capped nor gathered. A pair that meets in several lists counts only in the list of its
+smallest shared pivots. A block pair gives each vector's number of links there and links enough to connect its groups, never all pairs.
+
+The number of pivots grows with the number of vectors up to ``MAX_PIVOTS`` and ``PIVOT_BYTES``. Vectors of different length have no cosine: each length has pivots of its own, and one of at most
+``BLOCK`` vectors is a single list, compared in full; the lengths that occur are counted on the driver. Equal vectors are compared once: copies
+are counted and joined to their first. Defined results: vectors that are null, empty, zero, or hold null or non-finite parts
+link with nothing and are kept; repeated rows (same id) count as vectors of their own with the same id;
 an empty table gives an empty result; other columns, labels too, are ignored."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, materialize, read_table, small_batches
 
@@ -27,14 +29,21 @@ THRESHOLD = 0.9
 NEAREST, SHARED, BLOCK = 8, 2, 512
 #: Cosine above which a pivot would stand beside another and isn't taken: vectors of one dense group then share their pivots.
 APART = 0.6
-VECTORS_PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 32, 32, 2048
+VECTORS_PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS, PIVOT_BYTES = 32, 32, 8192, 32 << 20
+#: Rows of list sizes (some 40 bytes) that may be broadcast; beyond, a shuffle join adds them.
+BROADCAST_LISTS = 500_000
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -50,23 +59,40 @@ def spread(x: np.ndarray) -> np.ndarray:
     return taken[:n]
 
 
-def block_links(ids_a, xa, near_a, ids_b, xb, near_b, pivot: int, shared: int, threshold: float, same: bool):
-    """Pairs (rows of a, rows of b) that link and have this pivot as the smallest shared one."""
-    candidate = np.zeros((len(ids_a), len(ids_b)), np.int8)
-    first = np.ones((len(ids_a), len(ids_b)), bool)
-    for k in range(near_a.shape[1]):
-        hit = near_a[:, k][:, None, None] == near_b[None, :, :]
-        hit = hit.any(axis=2)
-        candidate += hit
-        first &= ~(hit & (near_a[:, k] < pivot)[:, None])
-    found = (candidate >= shared) & first
+def block_links(xa, near_a, xb, near_b, pivot: int, second: int, shared: int, threshold: float, same: bool) -> np.ndarray:
+    """Which pairs (of a, of b) link and have these (second: -1 for any) as their smallest shared pivots."""
+    known = np.unique(np.concatenate((near_a.ravel(), near_b.ravel())))
+    sees = []
+    for near in (near_a, near_b):
+        sees.append(np.zeros((len(near), len(known)), np.float32))
+        np.put_along_axis(sees[-1], np.searchsorted(known, near), 1, axis=1)
+    common = lambda columns: sees[0][:, columns] @ sees[1][:, columns].T
+    found = (common(slice(None)) >= shared) & (common(known < pivot) == 0)
+    if second >= 0:
+        found &= common((known > pivot) & (known < second)) == 0
     if same:
-        found &= np.tri(len(ids_a), k=-1, dtype=bool)
-    a, b = np.nonzero(found)
-    if not len(a):
-        return a, b
-    cosine = np.concatenate([np.einsum("ij,ij->i", xa[a[i : i + 65536]], xb[b[i : i + 65536]]) for i in range(0, len(a), 65536)])
-    return a[cosine >= threshold], b[cosine >= threshold]
+        found &= np.tri(len(xa), k=-1, dtype=bool)
+    if found.any():
+        found &= xa @ xb.T >= threshold - 1e-9
+        a, b = np.nonzero(found)
+        for at in range(0, len(a), 65536):
+            i, j = a[at : at + 65536], b[at : at + 65536]
+            found[i, j] = np.einsum("ij,ij->i", xa[i], xb[j]) >= threshold
+    return found
+
+
+def tied(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smallest id, id) that connect what the matrix of links (of a, of b) connects."""
+    a, b = ids_a.copy(), ids_b.copy()
+    most = np.iinfo(np.int64).max
+    while True:
+        least = np.minimum(a, np.where(links, b[None, :], most).min(axis=1, initial=most))
+        both = np.minimum(b, np.where(links, least[:, None], most).min(axis=0, initial=most))
+        if np.array_equal(least, a) and np.array_equal(both, b):
+            break
+        a, b = least, both
+    top, ids = np.concatenate((a, b)), np.concatenate((ids_a, ids_b))
+    return top[top != ids], ids[top != ids]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -92,65 +118,81 @@ def near_vectors(
     """One row per input row: id, n_links, component, kept."""
     spark = vectors.sparkSession
     small_batches(spark, 5000)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = getattr(vectors.schema[vector_col].dataType, "elementType", None)
+    part = "float" if isinstance(kind, T.FloatType) else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{part}>").alias("v"))
     sound = F.expr("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     rows = rows.withColumn("ok", F.coalesce(F.when(F.col("id").isNotNull() & F.col("v").isNotNull(), sound), F.lit(False)))
     rows = rows.withColumn("key", F.when(F.col("ok"), F.sha2(F.expr("array_join(transform(v, x -> string(x + 0.0D)), ',')"), 256)))
     rows = materialize(rows, "vectors")
-    good = rows.where("ok")
-    size = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if size is None:
+    distinct = rows.where("ok").groupBy("key").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.count("*").alias("copies"))
+    distinct = materialize(distinct.withColumn("dim", F.size("v")), "distinct-vectors")
+    counts = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
-    dim = size["dim"]
-    good = good.where(F.size("v") == dim)
-    distinct = materialize(good.groupBy("key").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.count("*").alias("copies")), "distinct-vectors")
-    count = distinct.count()
-    number = int(min(MAX_PIVOTS, max(MIN_PIVOTS, count // VECTORS_PER_PIVOT), count))
-    sample = distinct.select("key", "v").orderBy(F.xxhash64("key"), "key").limit(number).collect()
-    points = spread(unit(np.array([r["v"] for r in sample], dtype=np.float64)))
-    nearest = min(nearest, len(points))
-    shared = min(shared, nearest)
+    wanted = {dim: min(MAX_PIVOTS, max(MIN_PIVOTS, n // VECTORS_PER_PIVOT), n) for dim, n in counts.items() if n > block}
+    shrink = min(1.0, PIVOT_BYTES / max(1, sum(8 * dim * n for dim, n in wanted.items())))
+    wanted = {dim: max(2, int(n * shrink)) for dim, n in wanted.items()}
+    points, first = {}, 0
+    for dim, n in sorted(wanted.items()):
+        sample = distinct.where(F.col("dim") == dim).select("key", "v").orderBy(F.xxhash64("key"), "key").limit(n).collect()
+        points[dim] = (first, spread(unit(np.array([r["v"] for r in sample]))))
+        first += len(points[dim][1])
     pivots = spark.sparkContext.broadcast(points)
 
     def describe(batches):
+        """Adds the nearest pivots, or one of its own (minus the length) to vectors of a length without pivots."""
         for batch in batches:
-            x = unit(_matrix(batch.column(1), dim))
-            near = np.empty((len(x), nearest), np.int32)
-            for at in range(0, len(x), 2048):
-                score = -(x[at : at + 2048] @ pivots.value.T)
-                part = np.argpartition(score, nearest - 1, axis=1)[:, :nearest]
-                order = np.argsort(np.take_along_axis(score, part, axis=1), axis=1, kind="stable")
-                near[at : at + 2048] = np.take_along_axis(part, order, axis=1)
-            lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(x), batch.column(2), lists(near)], names=["id", "v", "copies", "near"])
-
-    described = materialize(distinct.select("id", "v", "copies").mapInArrow(describe, "id long, v array<double>, copies long, near array<int>"), "described")
-    postings = described.withColumn("pivot", F.explode("near"))
-    sizes = postings.groupBy("pivot").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+            dims = batch.column(3).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                own = batch.filter(pa.array(dims == dim))
+                near = np.full((own.num_rows, 1), -dim, np.int32)
+                if dim in pivots.value:
+                    start, points = pivots.value[dim]
+                    width = min(nearest, len(points))
+                    near = np.empty((own.num_rows, width), np.int32)
+                    x = unit(_matrix(own.column(1)))
+                    for at in range(0, len(x), 1024):
+                        score = -(x[at : at + 1024] @ points.T)
+                        best = np.argpartition(score, width - 1, axis=1)[:, :width]
+                        order = np.argsort(np.take_along_axis(score, best, axis=1), axis=1, kind="stable")
+                        near[at : at + 1024] = start + np.take_along_axis(best, order, axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], lists], names=["id", "v", "copies", "near"])
+
+    described = materialize(distinct.select("id", "v", "copies", "dim").mapInArrow(describe, f"id long, v array<{part}>, copies long, near array<int>"), "described")
+
+    def sized(postings: DataFrame, *by: str) -> DataFrame:
+        sizes = materialize(postings.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "list-sizes")
+        return postings.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LISTS else sizes, list(by))
+
+    postings = sized(described.select("id", "near", F.explode("near").alias("pivot")), "pivot")
+    split = (F.col("n") > block) & (F.size("near") > 1) & F.lit(shared > 1)
+    seconds = F.when(split, F.expr("filter(near, x -> x > pivot)")).otherwise(F.array(F.lit(-1)))
+    postings = sized(postings.select("id", "pivot", F.explode(seconds).alias("second")), "pivot", "second")
     # A vector goes to every pair of blocks that its own block is part of; the salt depends on nothing but its id.
-    postings = postings.join(F.broadcast(sizes), "pivot").withColumn("own", F.pmod(F.xxhash64("id", "pivot"), F.col("blocks")).cast("int"))
+    postings = postings.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", "pivot", "second"), F.col("blocks")).cast("int"))
     postings = postings.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = postings.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v", "copies", "near")
-
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot, i, j = (int(k) for k in key)
-        pdf = pdf.sort_values("id")
-        x, near, ids = np.stack(pdf["v"].to_numpy()), np.stack(pdf["near"].to_numpy()), pdf["id"].to_numpy()
-        copies = pdf["copies"].to_numpy()
-        left, right = (pdf["own"].to_numpy() == i).nonzero()[0], (pdf["own"].to_numpy() == j).nonzero()[0]
-        a, b = block_links(ids[left], x[left], near[left], ids[right], x[right], near[right], pivot, shared, threshold, i == j)
-        a, b = left[a], right[b]
-        n = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+    postings = postings.select("pivot", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id")
+    tasks = postings.join(described, "id")
+
+    def compare(key, table):
+        pivot, second, i, j = (k.as_py() for k in key)
+        ids, copies, own = (table.column(c).to_numpy() for c in ("id", "copies", "own"))
+        x, near = unit(_matrix(table.column("v"))), _matrix(table.column("near"))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        links = block_links(x[left], near[left], x[right], near[right], pivot, second, min(shared, near.shape[1]), threshold, i == j)
+        n = np.zeros(len(ids), np.int64)
+        n[left] += links @ copies[right]
+        n[right] += copies[left] @ links
         some = n > 0
-        tied = forest(ids[a], ids[b])
-        return pd.DataFrame({
-            "id": np.concatenate([ids[some], np.array([t[1] for t in tied], np.int64)]),
-            "n": np.concatenate([n[some].astype(np.int64), np.zeros(len(tied), np.int64)]),
-            "to": np.concatenate([np.full(int(some.sum()), -1, np.int64), np.array([t[0] for t in tied], np.int64)]),
-            "is_link": np.concatenate([np.zeros(int(some.sum()), bool), np.ones(len(tied), bool)]),
+        top, below = tied(links | links.T if i == j else links, ids[left], ids[right])
+        return pa.table({
+            "id": np.concatenate((ids[some], below)), "n": np.concatenate((n[some], np.zeros(len(below), np.int64))),
+            "to": np.concatenate((np.full(int(some.sum()), -1, np.int64), top)), "is_link": np.concatenate((np.zeros(int(some.sum()), bool), np.ones(len(below), bool))),
         })
 
-    found = materialize(tasks.groupBy("pivot", "i", "j").applyInPandas(compare, "id long, n long, to long, is_link boolean"), "vector-links")
+    found = materialize(tasks.groupBy("pivot", "second", "i", "j").applyInArrow(compare, "id long, n long, to long, is_link boolean"), "vector-links")
     grouped = components(found.where("is_link").select(F.col("id").alias("a"), F.col("to").alias("b")))
     links = found.where("NOT is_link").groupBy("id").agg(F.sum("n").alias("n"))
     firsts = distinct.select("key", "id", "copies").join(links, "id", "left").join(grouped, "id", "left")
