@@ -4,7 +4,7 @@ Text: log likelihood of letter trigrams under each language, trained here on a b
 language with ``LEAST_ROWS`` or more, by hashed ids); the mean over the whole text counts as ``EVIDENCE`` trigrams at most, so no text outweighs everything by length alone.
 Declared markup language and address suffix: their shares among texts of each language, by grouped aggregation over all rows, smoothed. Host
 prior: the host's own shares of languages, smoothed with its suffix's, those with the corpus's (a hierarchy of Dirichlet means),
-also by grouped aggregation. The posterior is the normalised product, where text in none of the languages (uniform trigrams, prior ``OTHER``) takes part; a page is accepted if it holds letters and its
+also by grouped aggregation. A row's own text is left out of all these counts, so what it says enters once. The posterior is the normalised product, where text in none of the languages (uniform trigrams, prior ``OTHER``) takes part; a page is accepted if it holds letters and its
 best language has at least ``ACCEPT``.
 
 A row's text is read once; what is shuffled are counts per (host, language), combined before, so a host with a third of all rows is no burden.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches
+from .common import let_go, materialize, read_table, small_batches
 
 #: Rows (about) of each declared language that are trained on, and rows in all that a declared language needs to be learned.
 TRAIN_ROWS, SLOTS, LEAST_ROWS = 8_000, 1 << 15, 2
@@ -75,6 +75,7 @@ def text_scores(rows: DataFrame, languages: list[str], table: np.ndarray, kept:
     width = len(languages)
 
     def run(batches):
+        let_go()
         own = sent.value
         for batch in batches:
             letters, scores, best = [], [], []
@@ -122,37 +123,45 @@ def language_id(
     if not languages:
         return rows.select("id", "text_hash", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
     scored = materialize(text_scores(rows, languages, table, ["id", "text_hash", "declared", "host", "suffix"]), "language-scores")
-    width = F.lit(float(len(languages)))
     corpus = scored.where("text_lang IS NOT NULL").groupBy("text_lang").agg(F.count("*").alias("n")).collect()
     totals = {r["text_lang"]: float(r["n"]) for r in corpus}
     everything = sum(totals.values())
-    base = F.array(*[F.lit((totals.get(lang, 0.0) + 1) / (everything + len(languages))) for lang in languages])
+    names = F.array(*[F.lit(lang) for lang in languages])
     of_lang = F.array(*[F.lit(totals.get(lang, 0.0)) for lang in languages])
-
-    def evidence(column: str) -> DataFrame:
-        shares = _shares(scored, column, languages)
-        kinds = F.lit(float(shares.count() + 1))
-        log = F.transform("counts", lambda x, i: F.log((x + 1.0) / (F.get(of_lang, i) + kinds)))
-        return shares.select(F.col(column), log.alias(f"{column}_log"))
-
     sum_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    suffixes = _shares(scored, "suffix", languages).withColumn("suffix_prior", F.transform("counts", lambda x, i: (x + F.lit(SUFFIX_WEIGHT) * F.get(base, i)) / (sum_of(F.col("counts")) + SUFFIX_WEIGHT))).select("suffix", "suffix_prior")
-    of_hosts = scored.where("host IS NOT NULL").groupBy("host").agg(F.min("suffix").alias("suffix")).join(_shares(scored, "host", languages), "host").join(suffixes, "suffix", "left")
-    parent = F.coalesce("suffix_prior", base)
-    of_hosts = of_hosts.select("host", F.transform("counts", lambda x, i: (x + F.lit(HOST_WEIGHT) * F.get(parent, i)) / (sum_of(F.col("counts")) + HOST_WEIGHT)).alias("host_prior"))
-    of_hosts = materialize(of_hosts, "language-hosts")
-    out = scored
-    for extra, on in ((evidence("declared"), "declared"), (evidence("suffix"), "suffix"), (of_hosts, "host")):
-        extra = materialize(extra, f"language-{on}")
-        out = out.join(F.broadcast(extra) if extra.count() <= BROADCAST_HOSTS else extra, on, "left")
+    itself = F.when(F.col("text_lang").isNull(), 0.0).otherwise(1.0)
+    itself_in = lambda i: F.when(F.get(names, i) == F.col("text_lang"), 1.0).otherwise(0.0)
+
+    def shares(counts, parent, weight: float):
+        """Shares of languages among others' counts, smoothed with the parent's."""
+        left = F.transform(counts, lambda x, i: F.greatest(x - itself_in(i), F.lit(0.0)))
+        return F.transform(left, lambda x, i: (x + F.lit(weight) * F.get(parent, i)) / (sum_of(left) + weight))
+
+    suffixes = _shares(scored, "suffix", languages)
+    of_hosts = scored.where("host IS NOT NULL").groupBy("host").agg(F.min("suffix").alias("suffix")).join(_shares(scored, "host", languages), "host")
+    of_hosts = of_hosts.withColumnRenamed("counts", "host_counts").join(suffixes.withColumnRenamed("counts", "host_suffix_counts"), "suffix", "left")
+    out, kinds = scored, {}
+    for extra, on in ((_shares(scored, "declared", languages), "declared"), (suffixes, "suffix"), (of_hosts.drop("suffix"), "host")):
+        extra = materialize(extra.withColumnRenamed("counts", f"{on}_counts"), f"language-{on}")
+        kinds[on] = extra.count()
+        out = out.join(F.broadcast(extra) if kinds[on] <= BROADCAST_HOSTS else extra, on, "left")
+    out = out.withColumn("base", F.transform(of_lang, lambda x, i: (x - itself_in(i) + 1.0) / (F.lit(everything + len(languages)) - itself)))
     none = F.array(*[F.lit(0.0)] * len(languages))
-    declared_log, suffix_log, prior = F.coalesce("declared_log", none), F.coalesce("suffix_log", none), F.coalesce("host_prior", base)
-    total = F.transform("scores", lambda x, i: x + F.get(declared_log, i) + F.get(suffix_log, i) + F.log(F.get(prior, i)))
+    base = F.col("base")
+    prior = shares("host_counts", F.coalesce(shares("host_suffix_counts", base, SUFFIX_WEIGHT), base), HOST_WEIGHT)
+
+    def evidence(column: str):
+        """Log probabilities of the row's value in each language."""
+        log = F.transform(f"{column}_counts", lambda x, i: F.log((F.greatest(x - itself_in(i), F.lit(0.0)) + 1.0) / (F.get(of_lang, i) - itself_in(i) + F.lit(kinds[column] + 1.0))))
+        return F.coalesce(log, none)
+
+    out = out.withColumns({"declared_log": evidence("declared"), "suffix_log": evidence("suffix"), "prior": F.coalesce(prior, base)})
+    total = F.transform("scores", lambda x, i: x + F.get("declared_log", i) + F.get("suffix_log", i) + F.log(F.get("prior", i)))
     # In no language: uniform trigrams, and evidence as likely as among all texts.
     among = lambda c: F.log(sum_of(F.transform(c, lambda x, i: F.exp(x) * F.get(base, i))))
-    other = F.least("letters", F.lit(EVIDENCE)) * F.lit(-float(np.log(SLOTS))) + F.log(F.lit(OTHER)) + among(declared_log) + among(suffix_log)
+    other = F.least("letters", F.lit(EVIDENCE)) * F.lit(-float(np.log(SLOTS))) + F.log(F.lit(OTHER)) + among("declared_log") + among("suffix_log")
     out = out.withColumn("log", total).withColumn("top", F.array_max("log")).withColumn("other", other)
-    out = out.withColumn("lang", F.element_at(F.array(*[F.lit(lang) for lang in languages]), F.array_position("log", F.col("top")).cast("int")))
+    out = out.withColumn("lang", F.element_at(names, F.array_position("log", F.col("top")).cast("int")))
     out = out.withColumn("posterior", F.lit(1.0) / (F.exp(F.col("other") - F.col("top")) + sum_of(F.transform("log", lambda x: F.exp(x - F.col("top"))))))
     return out.select("id", "text_hash", "lang", "posterior", "text_lang", ((F.col("letters") > 0) & (F.col("posterior") >= ACCEPT)).alias("accepted"))
 
