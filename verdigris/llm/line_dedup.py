@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, unused
 
 RATIO = 0.1
 MIN_PAGES = 20
@@ -41,16 +41,17 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RA
 
 def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with text cleaned, and n_lines and n_dropped added (replacing columns of those names)."""
-    lists = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    size = lists.agg(F.sum(F.size("_lines"))).first()[0] or 0
+    own_host, own_lines, kept, size_kept = unused(docs, "host", "lines", "kept", "n")
+    lists = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate").select(F.col("host").alias(own_host), F.col("lines").alias(own_lines))
+    size = lists.agg(F.sum(F.size(own_lines))).first()[0] or 0
     lists = F.broadcast(lists) if size <= BROADCAST_LINES else lists
-    joined = docs.join(lists, F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left")
+    joined = docs.join(lists, F.col(host_col).cast("string").eqNullSafe(F.col(own_host)), "left")
     split = F.split(F.col(text_col), "\n")
-    keep = lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_lines"), _hash(F.trim(x)))
-    joined = joined.withColumn("_kept", F.when(F.col("_lines").isNull(), split).otherwise(F.filter(split, keep)))
-    joined = joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "_n": F.coalesce(F.size("_kept"), F.lit(0)).cast("long")})
-    joined = joined.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_dropped", F.col("n_lines") - F.greatest("_n", F.lit(0)))
-    return joined.withColumn(text_col, F.array_join("_kept", "\n")).drop("_host", "_lines", "_kept", "_n")
+    keep = lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(own_lines), _hash(F.trim(x)))
+    joined = joined.withColumn(kept, F.when(F.col(own_lines).isNull(), split).otherwise(F.filter(split, keep)))
+    joined = joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), size_kept: F.coalesce(F.size(kept), F.lit(0)).cast("long")})
+    joined = joined.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_dropped", F.col("n_lines") - F.greatest(size_kept, F.lit(0)))
+    return joined.withColumn(text_col, F.array_join(kept, "\n")).drop(own_host, own_lines, kept, size_kept)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ differ in 2 or fewer bits then always share an index. Of three segments two diff
 (pigeonhole), so a key is an untouched segment with the index of the next: three kinds of key, about 16 keys for each distinct
 fingerprint, 30 or 35 bits each. Keys are joined and every candidate is verified on all 64 bits.
 
-Copies fall together before: only distinct fingerprints get keys. A bucket of more than ``BUCKET`` fingerprints isn't joined pair by
+Copies fall together before: only distinct fingerprints get keys. A bucket of more than ``bucket`` fingerprints (a parameter) isn't joined pair by
 pair: each of its fingerprints names the 65 points within one bit, and fingerprints that meet in a point are within two bits
 of each other; no point holds more than 65 of them, so this exact way for full buckets is linear. Nothing is capped.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, read_table, small_batches
+from .common import components, let_go, materialize, read_table, small_batches
 
 #: The generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1, and its lengths.
 GOLAY, LENGTH, CHECK = 0b110001110101, 23, 11
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
 
     def run(batches):
+        let_go()
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
             found = np.array([text_fingerprint(t.as_py(), shingle) for t in texts], dtype=np.uint64).view(np.int64)
@@ -133,26 +134,29 @@ def _points(batches):
         yield pa.RecordBatch.from_arrays([pa.array((fp[:, None] ^ flips).ravel().view(np.int64)), batch.column(1).take(pa.array(rows))], names=["point", "rep"])
 
 
-def links(reps: DataFrame) -> DataFrame:
-    """(a, b): links enough to connect all of (fp, rep), distinct fingerprints with a row that stands for each."""
+def links(reps: DataFrame, bucket: int | None = None) -> DataFrame:
+    """(a, b): links enough to connect all of (fp, rep), distinct fingerprints with a row that stands for each.
+
+    bucket: fingerprints in a Golay bucket that are joined pair by pair (by default ``BUCKET``); fuller ones are resolved through shared points."""
+    bucket = bucket or BUCKET
     keys = materialize(reps.select("fp", "rep").mapInArrow(_keyed, "key long, fp long, rep long"), "golay-keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(keys.join(sizes, "key"), "golay-shared")
-    few = shared.where(F.col("n") <= BUCKET)
+    few = shared.where(F.col("n") <= bucket)
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.fp < y.fp"))
     pairs = pairs.where(F.expr(f"bit_count(x.fp ^ y.fp) <= {LINKED}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    full = shared.where(F.col("n") > BUCKET).select("fp", "rep").distinct()
+    full = shared.where(F.col("n") > bucket).select("fp", "rep").distinct()
     points = full.mapInArrow(_points, "point long, rep long")
     firsts = points.groupBy("point").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("others")).where(F.size("others") > 1)
     met = firsts.select("a", F.explode("others").alias("b")).where("a <> b")
     return pairs.unionByName(met)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int | None = None) -> DataFrame:
     """One row per input row: id, text_hash, fp, component (the smallest id reachable over links)."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-reps")
-    found = components(links(reps.select("fp", F.col("fp").alias("rep")))).withColumnsRenamed({"id": "node", "component": "top"})
+    found = components(links(reps.select("fp", F.col("fp").alias("rep")), bucket)).withColumnsRenamed({"id": "node", "component": "top"})
     tops = materialize(reps.join(found, reps["fp"] == found["node"], "left").select("fp", "first", F.coalesce("top", "fp").alias("top")), "simhash-groups")
     named = tops.join(tops.groupBy("top").agg(F.min("first").alias("component")), "top").select("fp", "component")
     return fps.join(named, "fp").select("id", "text_hash", "fp", "component")

@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches
+from .common import let_go, materialize, read_table, small_batches, unused
 
 LENGTH, GRAM = 100, 32
 SEGMENT = 1 << 18
 COLLECTION, SHARD, HOT = 1 << 16, 1 << 14, 1 << 22
-BROADCAST_IDS = 2_000_000
+#: Documents whose ids (16 bytes) may be broadcast; beyond, a shuffle join picks them.
+BROADCAST_IDS = 500_000
 LAST = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15
@@ -110,6 +111,7 @@ def contexts(text: bytes) -> tuple[np.ndarray, ...]:
 
 def _find_contexts(batches):
     """(a, c, id, sub, lo, n, whole): whole marks contexts with an earlier copy in the batch; they get a random anchor."""
+    let_go()
     for batch in batches:
         ids, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         texts = batch.column(2).cast(pa.binary())
@@ -357,11 +359,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column,
     return key, (F.lit(0).cast("long") if unique else F.xxhash64(F.col(text_col).cast("string"))), unique
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows whose (vg_id, vg_sub) are (or aren't) among ids, which are broadcast up to a checked number."""
+def _with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "vg_id", sub: str = "vg_sub") -> DataFrame:
+    """Rows whose (key, sub) are (or aren't) among ids (vg_id, vg_sub), which are broadcast up to a checked number."""
+    ids = ids.select(F.col("vg_id").alias(key), F.col("vg_sub").alias(sub))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, ["vg_id", "vg_sub"], how)
+    return docs.join(ids, [key, sub], how)
 
 
 def repeated_spans(docs: DataFrame, collection: int = COLLECTION, hot_bytes: int = HOT) -> DataFrame:
@@ -414,26 +417,25 @@ def _cut_texts(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """docs with repeated strings cut out of text_col, and vg_n_bytes, vg_n_removed, vg_n_spans and vg_kept_sha256 added (columns starting with vg_ are reserved)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "vg_", **limits) -> DataFrame:
+    """docs with repeated strings cut out of text_col, and prefix + n_bytes, n_removed, n_spans and kept_sha256 added (replacing columns of those names)."""
     key, sub, unique = _keyed(docs, id_col, text_col)
-    own = docs.withColumns({"vg_id": key, "vg_sub": sub, "vg_text": F.col(text_col).cast("string")})
-    narrow = own.select("vg_id", "vg_sub", "vg_text")
+    own_id, own_sub, own_text, own_spans, own_cut = unused(docs, "id", "sub", "text", "spans", "cut")
+    own = docs.withColumns({own_id: key, own_sub: sub, own_text: F.col(text_col).cast("string")})
+    narrow = own.select(F.col(own_id).alias("vg_id"), F.col(own_sub).alias("vg_sub"), F.col(own_text).alias("vg_text"))
     spans = repeated_spans(narrow if unique else narrow.dropDuplicates(["vg_id", "vg_sub"]), **limits)
-    ids = spans.select("vg_id", "vg_sub")
-    size = F.coalesce(F.octet_length("vg_text"), F.lit(0)).cast("long")
-    plain = _with_ids(own, ids, "left_anti").withColumns({
-        "vg_n_bytes": size, "vg_n_removed": F.lit(0).cast("long"), "vg_n_spans": F.lit(0).cast("long"),
-        "vg_kept_sha256": F.sha2(F.encode(F.coalesce("vg_text", F.lit("")), "UTF-8"), 256),
-    })
-    changed = _with_ids(own, ids, "left_semi").join(spans.hint("shuffle_merge"), ["vg_id", "vg_sub"])
+    added = [f"{prefix}{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
+    size = F.coalesce(F.octet_length(own_text), F.lit(0)).cast("long")
+    none = F.lit(0).cast("long")
+    plain = _with_ids(own, spans, "left_anti", own_id, own_sub)
+    plain = plain.withColumns(dict(zip(added, (size, none, none, F.sha2(F.encode(F.coalesce(own_text, F.lit("")), "UTF-8"), 256)), strict=True)))
+    found = spans.select(F.col("vg_id").alias(own_id), F.col("vg_sub").alias(own_sub), F.col("vg_spans").alias(own_spans))
+    changed = _with_ids(own, spans, "left_semi", own_id, own_sub).join(found.hint("shuffle_merge"), [own_id, own_sub])
     cut = F.pandas_udf(_cut_texts, "text string, n_removed long, n_spans long, kept_sha256 string")
-    changed = changed.withColumn("vg_cut", cut(F.encode("vg_text", "UTF-8"), F.col("vg_spans")))
-    changed = changed.withColumns({
-        "vg_n_bytes": size, "vg_n_removed": F.col("vg_cut.n_removed"), "vg_n_spans": F.col("vg_cut.n_spans"),
-        "vg_kept_sha256": F.col("vg_cut.kept_sha256"), text_col: F.col("vg_cut.text"),
-    })
-    columns = [*docs.columns, "vg_n_bytes", "vg_n_removed", "vg_n_spans", "vg_kept_sha256"]
+    changed = changed.withColumn(own_cut, cut(F.encode(own_text, "UTF-8"), F.col(own_spans)))
+    results = (size, *(F.col(f"{own_cut}.{c}") for c in ("n_removed", "n_spans", "kept_sha256")))
+    changed = changed.withColumns({**dict(zip(added, results, strict=True)), text_col: F.col(f"{own_cut}.text")})
+    columns = [*(c for c in docs.columns if c not in added), *added]
     return plain.select(columns).unionByName(changed.select(columns))
 
 
