@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import held, read_table, small_batches
 
-KEPT, MODEL_BYTES, NONE = 250_000, 64 << 20, np.int64(1) << 60
+KEPT, MODEL_BYTES, NONE = 500_000, 64 << 20, np.int64(1) << 60
 #: Bytes (about) of a generation of remembered pre-tokens, what an entry takes beside its text and ids, and the size of one step's trees.
-KEPT_BYTES, ENTRY_BYTES, TREES = 32 << 20, 180, 1 << 17
+KEPT_BYTES, ENTRY_BYTES, TREES = 64 << 20, 180, 1 << 19
 #: Bytes from which a pre-token gets a tree of its own.
 WIDE = 256
 WHITE = r"\t-\r \x85\xa0  -     　"

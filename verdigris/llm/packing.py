@@ -58,6 +58,7 @@ class Words:
         self.codec = Codec(model)
         self.split = re.compile(PLAIN_PATTERN).findall
         self.plain = re.compile("[!-;=-~\u00c0-\u012f\u0131-\u017f]+").fullmatch  # without <, which starts special tokens
+        self.unplain = re.compile("[^\n!-;=-~\u00c0-\u012f\u0131-\u017f]").search
         self.odd = re.compile("[\x1c-\x1f]").search
         self.kept = self.codec.kept
 
@@ -66,15 +67,17 @@ class Words:
 
     def remember(self, chunks: set[str]) -> None:
         """Sees that the ids of chunks are in kept.young."""
-        fast, slow = [], []
-        for c in self.kept.missing(chunks):
-            (fast if self.plain(c) else slow).append(c)
+        new = self.kept.missing(chunks)
+        slow = [c for c in new if not self.plain(c)] if self.unplain("\n".join(new)) else []
         self.kept.add(dict(zip(slow, self.whole(slow), strict=True)))
-        parts = [(low,) if (low := c.lower()).isalpha() else self.split(low) for c in fast]
-        fresh = list(self.kept.missing({p for ps in parts for p in ps}))
+        low = {c: c.lower() for c in new.difference(slow)}
+        cut = {c: self.split(w) for c, w in low.items() if not w.isalpha()}
+        wanted = {p for ps in cut.values() for p in ps}
+        wanted.update(low.values() if not cut else [w for c, w in low.items() if c not in cut])
+        fresh = list(self.kept.missing(wanted))
         self.kept.add(dict(zip(fresh, self.codec.merge([p.encode() for p in fresh]), strict=True)))
         get = self.kept.young.__getitem__
-        self.kept.add({c: get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for c, ps in zip(fast, parts, strict=True) if ps[0] != c})
+        self.kept.add({c: b"".join(map(get, cut[c])) if c in cut else get(w) for c, w in low.items() if w != c or c in cut})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.odd(t) else t.split() for t in texts]
