@@ -64,6 +64,14 @@ def format_table(rows: Sequence[Mapping], *, value: str = "value", index: str =
     return "\n".join(out)
 
 
+def latex_head(selector: str, labels: Mapping[str, str] | None = None) -> str:
+    """A column's head: its label as it is, else its escaped name, on two lines where it names a metric at a query."""
+    if selector in (labels or {}):
+        return labels[selector]
+    metric, at, query = escape_latex(selector).partition("@")
+    return rf"\shortstack{{{metric}\\@{query}}}" if at else metric
+
+
 def grid_tabular(grid: Mapping[str, Mapping[str, float | None]], *, digits: int = 3, corner: str = "", rank: str | None = "rows", exclude: Sequence[str] = ("oracle",), higher_is_better: bool = True, column_labels: Mapping[str, str] | None = None, row_labels: Mapping[str, str] | None = None, rules_before: Sequence[str] = (), position: str = "t") -> str:
     """A tabular of a prebuilt grid, ranked within rows, columns or not at all."""
     columns = list(dict.fromkeys(c for r in grid.values() for c in r))
@@ -72,7 +80,7 @@ def grid_tabular(grid: Mapping[str, Mapping[str, float | None]], *, digits: int
         style = {(r, c): m for r, cells in grid.items() for c, m in marks(cells, exclude=exclude, digits=digits, higher_is_better=higher_is_better).items()}
     elif rank == "columns":
         style = {(r, c): m for c in columns for r, m in marks({r: cells.get(c) for r, cells in grid.items()}, exclude=exclude, digits=digits, higher_is_better=higher_is_better).items()}
-    label = lambda names, x: (names or {}).get(x, escape_latex(x))
+    label = lambda names, x: latex_head(x, names) if names is column_labels else (names or {}).get(x, escape_latex(x))
     lines = [rf"\begin{{tabular}}[{position}]{{l{'r' * len(columns)}}}", r"\toprule", " & ".join([corner, *[label(column_labels, c) for c in columns]]) + r" \\", r"\midrule"]
     for r, cells in grid.items():
         if r in rules_before:
@@ -96,10 +104,10 @@ def metric_grid(rows: Sequence[Mapping], metric: str, *, value: str = "value", i
     return grid
 
 
-def latex_table(rows: Sequence[Mapping], *, value: str = "value", index: str = "category", metrics: Sequence[str] | None = None, digits: int = 3, higher_is_better: bool = True, mean_row: bool = True, caption: str = "", label: str = "", vertical: bool = False) -> str:
+def latex_table(rows: Sequence[Mapping], *, value: str = "value", index: str = "category", metrics: Sequence[str] | None = None, digits: int = 3, higher_is_better: bool = True, mean_row: bool = True, caption: str = "", label: str = "", vertical: bool = False, selector_labels: Mapping[str, str] | None = None) -> str:
     """A float with a tabular for each metric: best bold, second underlined, the mean of the cells last."""
     metrics = list(metrics) if metrics is not None else list(dict.fromkeys(r["metric"] for r in rows))
-    tabulars = [grid_tabular(metric_grid(rows, m, value=value, index=index, mean_row=mean_row), digits=digits, corner=METRIC_HEADS.get(m, escape_latex(m)), higher_is_better=higher_is_better, rules_before=("mean",)) for m in metrics]
+    tabulars = [grid_tabular(metric_grid(rows, m, value=value, index=index, mean_row=mean_row), digits=digits, corner=METRIC_HEADS.get(m, escape_latex(m)), higher_is_better=higher_is_better, column_labels=selector_labels or {}, rules_before=("mean",)) for m in metrics]
     return latex_float(tabulars, caption=caption, label=label, vertical=vertical)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -153,23 +154,58 @@ def pipeline_checks(tables: Mapping[str, DataFrame | None], finite: Sequence[tup
     return out
 
 
-def run_analyses(paired: DataFrame, *, by: Sequence[str] = ("metric", "set_name", "query", "category"), pooled: bool = False, k: int = 2, min_n: int = 3, alpha: float = 0.05, held_out: str = "category", choose_by: str = "skill", replicate_key: str = "param_seed", selectors: Sequence[str] = ("fixed", "image_auroc@all", "oracle"), metrics: Sequence[str] = ("image_auroc", "aupro", "pixel_auroc")) -> dict[str, DataFrame]:
-    """All analysis tables over one definition of populations, as lazy frames over the paired table (persist it: each reads it)."""
-    from . import correlation as C
+def collapse_replicates(paired: DataFrame, by: Sequence[str], *, replicate_key: str = "param_seed", keep: bool = False) -> DataFrame:
+    """Replicates averaged, unless they are asked for, are populations of their own (a grouping key), or there are none."""
+    from . import selection as S
+
+    if keep or replicate_key in by or replicate_key not in paired.columns:
+        return paired
+    return S.aggregate_replicates(paired, replicate_key=replicate_key)
+
+
+def run_selected(paired: DataFrame, by: Sequence[str], *, selectors: Sequence[str], metrics: Sequence[str], held_out: str = "category", rank_metric: str = "image_auroc", replicate_key: str = "param_seed", min_n: int = 3) -> dict[str, DataFrame]:
+    """What each rule picked and its summary; nothing where no parameter tells configs apart or no population has min_n of them."""
     from . import selected as W
+
+    try:
+        picked = W.selected_metrics(paired, by=by, selectors=selectors, metrics=metrics, held_out=held_out, rank_metric=rank_metric, replicate_key=replicate_key, min_n=min_n)
+    except (KeyError, ValueError) as error:
+        warnings.warn(f"no table of achieved metrics: {error}", stacklevel=2)
+        return {}
+    if picked.isEmpty():
+        warnings.warn(f"no table of achieved metrics: no population has {min_n} configs", stacklevel=2)
+        return {}
+    return {"selected": picked, "selected_summary": W.summarise_selected(picked)}
+
+
+def run_analyses(
+    paired: DataFrame, *, by: Sequence[str] = ("metric", "set_name", "query", "category"), pooled: bool = False, keep_replicates: bool = False, k: int = 2, min_n: int = 3, alpha: float = 0.05,
+    min_defect_samples: int | None = None, n_boot: int = 0, seed: int | None = None, held_out: str = "category", choose_by: str = "skill", replicate_key: str = "param_seed",
+    selectors: Sequence[str] = ("fixed", "image_auroc@all", "oracle"), metrics: Sequence[str] = ("image_auroc", "aupro", "pixel_auroc"), rank_metric: str = "image_auroc",
+) -> dict[str, DataFrame]:
+    """All analysis tables over one definition of populations, as lazy frames over the paired table (persist it: each reads it).
+
+    Populations are conditioned on the training set unless pooled. The noise floor comes from the replicates before they are averaged; the baseline is conditioned like the
+    selection; tables whose columns are missing are left out."""
+    from . import correlation as C
     from . import selection as S
 
-    noise = S.replicate_noise(paired, S.conditioned_by(paired, by), replicate_key=replicate_key)
-    if pooled:
-        paired, keys = S.aggregate_replicates(paired, replicate_key=replicate_key), list(by)
-    else:
-        keys = S.conditioned_by(paired, by)
-    selection = S.with_noise_floor(S.evaluate_selection(paired, keys, k=k, min_n=min_n, alpha=alpha), noise)
-    correlation = C.correlate(paired, keys, alpha=alpha, min_n=min_n)
-    baseline = S.fixed_config_baseline(paired, [x for x in keys if x not in ("query", "set_name", held_out)], held_out=held_out, replicate_key=replicate_key)
-    picked = W.selected_metrics(paired, by=keys, selectors=selectors, metrics=metrics, held_out=held_out, replicate_key=replicate_key, min_n=min_n)
-    return {
-        "noise": noise, "selection": selection, "correlation": correlation, "calibration": C.evaluate_bias(paired, keys, alpha=alpha, min_n=min_n), "baseline": baseline,
-        "leave_one_out": S.leave_one_out_query(paired, keys, held_out=held_out, choose_by=choose_by, k=k, min_n=min_n), "combined": S.build_combined(correlation, selection, baseline, keys),
-        "selected": picked, "selected_summary": W.summarise_selected(picked),
-    }
+    keys = list(by) if pooled else S.conditioned_by(paired, by)
+    screen = {"min_n": min_n, "alpha": alpha, "min_defect_samples": min_defect_samples}
+    noise = S.replicate_noise(paired, keys, replicate_key=replicate_key) if replicate_key in paired.columns else None
+    paired = collapse_replicates(paired, keys, replicate_key=replicate_key, keep=keep_replicates)
+    selection = S.evaluate_selection(paired, keys, k=k, n_boot=max(0, n_boot), rng=seed, **screen)
+    if noise is not None:
+        selection = S.with_noise_floor(selection, noise)
+    correlation = C.correlate(paired, keys, **screen)
+    tables = {"paired": paired, "selection": selection, "correlation": correlation, "calibration": C.evaluate_bias(paired, keys, **screen)}
+    if noise is not None:
+        tables["noise"] = noise
+    held = held_out in paired.columns
+    fixed_by = [x for x in ("metric", *S.training_set_keys(paired)) if x in keys]
+    if held and S.config_dimensions(paired, fixed_by, held_out=held_out, replicate_key=replicate_key):
+        tables["baseline"] = S.fixed_config_baseline(paired, fixed_by, held_out=held_out, replicate_key=replicate_key)
+        tables["combined"] = S.build_combined(correlation, selection, tables["baseline"], keys)
+    if held:
+        tables["leave_one_out"] = S.leave_one_out_query(paired, keys, held_out=held_out, choose_by=choose_by, k=k, **screen)
+    return {**tables, **run_selected(paired, keys, selectors=selectors, metrics=metrics, held_out=held_out, rank_metric=rank_metric, replicate_key=replicate_key, min_n=min_n)}

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
 from ..operators import blending as B
+from ..operators import corpus as K
+from ..operators import protocol as P
 from ..operators import recompute as R
 from ..operators import resume as G
 from ..operators import scoring as J
@@ -184,3 +186,70 @@ ORACLE_SQL = {k: D.with_views(v) for k, v in {
       SELECT p_partkey, 'full' AS layout, 0 AS x0, 0 AS y0, w AS x1, h AS y1 FROM cf UNION ALL
       SELECT p_partkey, 'center', CAST(least(greatest(0, w // 2 - 32), w - 64) AS INT), CAST(least(greatest(0, h // 2 - 32), h - 64) AS INT), CAST(least(greatest(0, w // 2 - 32), w - 64) + 64 AS INT), CAST(least(greatest(0, h // 2 - 32), h - 64) + 64 AS INT) FROM cf""",
 }.items()}
+
+
+# Prompts and staging
+
+
+def _prompts(spark, sf_dir):
+    rows = D.manifest(spark, sf_dir)
+    target = F.when(F.col("image_id") % 17 != 0, "defect_free_source")
+    first = F.substring("prompt", 1, 400)
+    return rows.select("category", F.col("class").alias("mode"), F.col("severity").alias("stage"), F.concat(first, F.lit(" Keep the existing light."), F.when(F.col("image_id") % 13 == 0, " Deepen it.").otherwise("")).alias("prompt"), target.alias("applies_to"))
+
+
+def prompt_checks(spark, sf_dir):
+    modes = D.manifest(spark, sf_dir).groupBy("category").agg(F.count_distinct("class").alias("n_modes")).withColumn("fixed", F.lit("Keep the EXISTING light. "))
+    out = P.check_prompts(_prompts(spark, sf_dir), modes, markers=("existing", "deepen"))
+    return out.select("category", F.size("failures").alias("n"), F.array_join("failures", "; ").alias("failures"))
+
+
+def negative_cells(spark, sf_dir):
+    return P.negative_prompts(_prompts(spark, sf_dir), "  a clean \n surface ").groupBy("category", "mode", "stage", "prompt").agg(F.count("*").alias("n"))
+
+
+def benchmark_names(spark, sf_dir):
+    paths = D.manifest(spark, sf_dir).select("image_id", F.concat(F.lit("/data/"), F.when(F.col("image_id") % 3 == 0, "MVTec_LOCO").when(F.col("image_id") % 3 == 1, "VisA").otherwise("own"), F.lit("/"), F.col("category"), F.when(F.col("image_id") % 5 == 0, "/x/y").otherwise("/")).alias("path"))
+    return paths.select("image_id", P.infer_benchmark(F.col("path")).alias("benchmark"))
+
+
+def sample_staging(spark, sf_dir):
+    rows = D.manifest(spark, sf_dir).select("category", F.col("image_id").alias("place"), F.concat(F.lit("a/"), F.col("image_id").cast("string"), F.lit(".png")).alias("path"), F.col("n_chars").alias("length"))
+    staged = rows.where("length % 2 = 0").select("category", F.concat(F.lpad(F.col("place").cast("string"), 2, "0"), F.lit("_"), F.col("place").cast("string"), F.lit(".png")).alias("target"), (F.col("length") - F.col("length") % 4).alias("length"))
+    return P.stage_samples(rows, staged)
+
+
+def sample_stats(spark, sf_dir):
+    rows = D.manifest(spark, sf_dir).select("category", F.lpad(F.col("image_id").cast("string"), 8, "0").alias("path"), F.when(F.col("class") != "es", F.when(F.col("category") > "src2", F.col("image_id") % 2 + 5).otherwise(9)).cast("int").alias("width"), F.lit(7).alias("height"), F.col("class").alias("mode"))
+    return P.image_stats(rows)
+
+
+def pending_total(spark, sf_dir):
+    rows = D.manifest(spark, sf_dir)
+    cells = rows.select("class", "severity").distinct()
+    return P.pending_rows(K.shortfall_table(cells, K.generated_counts(rows), 200), ["class"])
+
+
+def source_frames(spark, sf_dir):
+    return P.source_frames(_pool_frames(spark, sf_dir)[1].select("category", "frame"), 10)
+
+
+QUERIES |= {f.__name__: f for f in (prompt_checks, negative_cells, benchmark_names, sample_staging, sample_stats, pending_total, source_frames)}
+
+_PROMPTS = "pm AS (SELECT category, class AS mode, severity AS stage, lower(substr(prompt, 1, 400) || ' Keep the existing light.' || CASE WHEN image_id % 13 = 0 THEN ' Deepen it.' ELSE '' END) AS t, image_id % 17 <> 0 AS fine FROM fx_manifest)"
+ORACLE_SQL |= {k: D.with_views(v) for k, v in {
+    "prompt_checks": f"""{_PROMPTS}, pf AS (SELECT category, unnest(list_filter([CASE WHEN NOT fine THEN mode || '/' || stage || ' applies to nothing' END, CASE WHEN contains(replace(t, 'keep the existing light.', ' '), 'existing') THEN mode || '/' || stage || ' names existing' END,
+        CASE WHEN contains(replace(t, 'keep the existing light.', ' '), 'deepen') THEN mode || '/' || stage || ' names deepen' END], lambda x: x IS NOT NULL)) AS f FROM pm),
+      pc AS (SELECT category, count(*) AS n, count(DISTINCT mode) AS m FROM pm GROUP BY category), pl AS (SELECT category, list(f ORDER BY f) AS fs FROM pf GROUP BY category),
+      pr AS (SELECT pc.category, list_concat(CASE WHEN n <> 4 * m THEN [n || ' prompts, expected ' || 4 * m] ELSE [] END, coalesce(fs, [])) AS fs FROM pc LEFT JOIN pl ON pc.category = pl.category)
+      SELECT category, CAST(len(fs) AS INT) AS n, array_to_string(fs, '; ') AS failures FROM pr""",
+    "negative_cells": "SELECT category, class AS mode, severity AS stage, 'a clean surface' AS prompt, count(*) AS n FROM fx_manifest GROUP BY ALL",
+    "benchmark_names": "SELECT image_id, CASE WHEN image_id % 5 = 0 OR image_id % 3 = 2 THEN 'unknown' WHEN image_id % 3 = 0 THEN 'mvtec_ad' ELSE 'visa' END AS benchmark FROM fx_manifest",
+    "sample_staging": """SELECT category, 'a/' || image_id || '.png' AS path, CASE WHEN image_id < 10 THEN '0' || image_id ELSE left(CAST(image_id AS VARCHAR), 2) END || '_' || image_id || '.png' AS target,
+      CASE WHEN n_chars % 2 = 1 THEN 'copy' WHEN n_chars % 4 = 0 THEN 'keep' ELSE 'diverged' END AS action FROM fx_manifest""",
+    "sample_stats": """iw AS (SELECT category, lpad(CAST(image_id AS VARCHAR), 8, '0') AS path, CASE WHEN class <> 'es' THEN CASE WHEN category > 'src2' THEN image_id % 2 + 5 ELSE 9 END END AS width, class AS mode FROM fx_manifest),
+      is2 AS (SELECT category, CAST(arg_min(width, path) AS INT) AS width, arg_min(mode, path) AS mode, count(DISTINCT width) = 1 AS us, count(DISTINCT mode) = 1 AS um FROM iw WHERE width IS NOT NULL GROUP BY category), ic AS (SELECT DISTINCT category FROM iw)
+      SELECT ic.category, CASE WHEN us IS NULL THEN 'failed' ELSE 'ok' END AS probe, width, CASE WHEN us IS NOT NULL THEN 7 END AS height, mode, us AS uniform_size, um AS uniform_mode FROM ic LEFT JOIN is2 ON ic.category = is2.category""",
+    "pending_total": "SELECT class, CAST(sum(greatest(0, 200 - n)) AS BIGINT) AS pending FROM (SELECT class, severity, count(*) AS n FROM fx_manifest GROUP BY ALL) GROUP BY class",
+    "source_frames": f"{_POOLS} SELECT category, frame, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY frame) <= 10 THEN 'source' ELSE 'train' END AS role FROM fr",
+}.items()}
