@@ -264,8 +264,9 @@ def render_negatives(items: Column) -> Column:
 
 def prompt_lint(rows: DataFrame, text: str, markers: Sequence[str], *, min_words: int = 3, max_chars: int = 2000) -> DataFrame:
     """Failures of each text: too short, too long, and whole-word markers it holds."""
-    word = lambda m: F.regexp_like(F.lower(F.col(text)), F.lit(rf"\b{m}\b"))
-    n_words = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""))
+    low = F.lower(F.col(text))
+    word = lambda m: F.contains(low, F.lit(m)) & F.regexp_like(low, F.lit(rf"\b{m}\b"))
+    n_words = F.regexp_count(F.col(text), F.lit(r"\S+"))
     checks = [F.when(n_words < min_words, F.lit("too few words")), F.when(F.length(text) > max_chars, F.lit("too long")), *[F.when(word(m), F.lit(f"names {m}")) for m in markers]]
     return rows.withColumn("failures", F.array_compact(F.array(*checks)))
 

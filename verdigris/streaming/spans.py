@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,12 @@ def verdicts(rows: DataFrame, accept_margin: float) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="verdigris-stream-")
+    """A path in the folder that all machines share (spark.checkpoint.dir); only a local session may go without, in a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="verdigris-stream-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
