@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import weakref
@@ -27,12 +28,14 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the setting is empty (tests on one machine) a folder of this process is used."""
+    Only where the setting is empty and the session is local (tests on one machine) a folder of this process is used."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = where.get() if where.isDefined() else None
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="verdigris-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
