@@ -30,7 +30,7 @@ CAPACITY, END = 4096, 1
 #: Steps of the short search for a bin's first filling, and of all searches that branch off while the bound isn't met.
 FILLINGS, BRANCHES = 400, 400_000
 #: Rows that are numbered in one group.
-GROUP = 200_000
+GROUP = 20_000
 
 
 #: The pattern that this kind of tokenizer splits normalised text with.
