@@ -8,41 +8,55 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BANK_ROWS = 200_000
+#: Bytes of vectors that one task or broadcast holds.
+BANK_BYTES = 64 << 20
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, k: int, batch: int) -> np.ndarray:
+    """Distances of the rows of q to their k nearest rows of x, in order; fewer where x has fewer."""
+    norm, out = (x * x).sum(axis=1), []
+    for at in range(0, len(q), batch):
+        rows = q[at : at + batch]
+        near = np.argpartition(norm - 2 * rows @ x.T, min(k, len(x)) - 1, axis=1)[:, :k]
+        out.append(np.sort(np.sqrt(((x[near] - rows[:, None]) ** 2).sum(axis=2)), axis=1))
+    return np.concatenate(out)
 
 
 def knn_score(queries: DataFrame, bank: DataFrame, *, k: int = 3, id_col: str = "vec_id", vector: str = "embedding", batch: int = 1024) -> DataFrame:
-    """(id, score): mean Euclidean distance to the k nearest bank vectors.
+    """(id, score): mean Euclidean distance to the k nearest bank vectors, NULL without any.
 
-    The bank is a coreset: up to BANK_ROWS vectors are sent to every worker; a larger bank is compared in parts, each part
-    giving every query its k best, from which the k best of all are kept."""
+    A bank of at most BANK_BYTES is sent to every worker. A larger one never reaches the driver: bank and queries are cut into blocks of that size, each pair of
+    blocks is a task, and of what the blocks find for a query the k best are kept."""
     spark = queries.sparkSession
-    n = bank.count()
-    parts = -(-n // BANK_ROWS)
-    found = None
-    for part in range(parts):
-        own = bank if parts == 1 else bank.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == part)
-        sent = spark.sparkContext.broadcast(np.array([r[0] for r in own.select(F.col(vector).cast("array<double>")).collect()], dtype=np.float64))
-
-        def run(batches, sent=sent):
-            x = sent.value
-            norm = (x * x).sum(axis=1)
-            for b in batches:
-                ids, q = b.column(0), np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                out = []
-                for at in range(0, len(q), batch):
-                    rows = q[at : at + batch]
-                    near = np.argpartition(norm - 2 * rows @ x.T, min(k, len(x)) - 1, axis=1)[:, :k]
-                    out.append(np.sort(np.sqrt(((x[near] - rows[:, None]) ** 2).sum(axis=2)), axis=1))
-                dist = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(list(dist), pa.list_(pa.float64()))], names=["id", "near"])
-
-        one = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "id long, near array<double>")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return queries.select(F.col(id_col).cast("long").alias("id"), F.lit(None).cast("double").alias("score"))
-    if parts > 1:
-        found = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    own = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    points = bank.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    size = lambda df: (df.agg(F.sum(8 * F.size("v"))).first()[0] or 0)
+    total = size(points)
+    if not total:
+        return own.select("id", F.lit(None).cast("double").alias("score"))
+    if total <= BANK_BYTES:
+        sent = spark.sparkContext.broadcast(np.array([r["v"] for r in points.select("v").collect()], dtype=np.float64))
+
+        def run(batches):
+            for b in filter(len, batches):
+                near = _nearest(np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64), sent.value, k, batch)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(near), pa.list_(pa.float64()))], names=["id", "near"])
+
+        found = own.mapInArrow(run, "id long, near array<double>")
+    else:
+        blocks, parts = -(-total // BANK_BYTES), -(-size(own) // BANK_BYTES) or 1
+        dealt = lambda df, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64("id", "v"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+
+        def meet(left, right):
+            if not len(left) or not len(right):
+                return pd.DataFrame({"id": np.zeros(0, np.int64), "near": pd.Series([], dtype=object)})
+            near = _nearest(np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()), k, batch)
+            return pd.DataFrame({"id": left["id"], "near": list(near)})
+
+        keys = ["part", "block"]
+        met = dealt(own, "part", parts, "block", blocks).groupBy(*keys).cogroup(dealt(points, "block", blocks, "part", parts).groupBy(*keys))
+        found = met.applyInPandas(meet, "id long, near array<double>")
+        found = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))  # at most k of each block
     return found.select("id", (F.aggregate("near", F.lit(0.0), lambda a, x: a + x) / F.size("near")).alias("score"))
 
 
