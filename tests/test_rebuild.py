@@ -13,6 +13,7 @@ from verdigris.operators import recompute as R
 from verdigris.operators import resume as G
 from verdigris.operators import scoring as J
 from verdigris.operators import splits as S
+from verdigris.operators import vectors as V
 
 
 def regions(mask):
@@ -107,6 +108,18 @@ def test_numbered(spark):
         null_safe_join(df, df, [])
 
 
+def test_nearest_neighbours_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(90, 4)), rng.normal(size=(25, 4))
+    bank, queries = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>") for m in (x, q))
+    want = np.sort(np.linalg.norm(q[:, None] - x[None], axis=2), axis=1)[:, :3].mean(axis=1)
+    for limit in (64 << 20, 400):
+        monkeypatch.setattr(V, "BANK_BYTES", limit)
+        got = {r["id"]: r["score"] for r in V.knn_score(queries, bank).collect()}
+        assert len(got) == 25 and all(got[i] == pytest.approx(want[i]) for i in got)
+    assert {r["score"] for r in V.knn_score(queries, bank.limit(0)).collect()} == {None} and V.knn_score(queries.limit(0), bank).count() == 0
+
+
 def test_marks():
     assert report.marks({"a": 0.9004, "b": 0.9001, "c": 0.8, "oracle": 1.0, "d": None}) == {"a": "best", "b": "best", "c": "second"}
     assert report.marks({"a": 1.0, "b": None}) == {} and report.marks({"a": 1.0, "b": 2.0}, higher_is_better=False) == {"a": "best", "b": "second"}
