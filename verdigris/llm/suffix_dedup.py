@@ -6,8 +6,9 @@ one). Strings never cross documents and are judged on the input.
 1. Windows of LENGTH bytes pick an anchor, the least hashed gram of ``GRAM`` bytes in them, so equal windows pick equal anchors at the same
    place. The windows of one anchor occurrence are neighbours; together they are a context (about 130 bytes). Contexts equal in all bytes
    (64-bit digests under the same anchor) fall together: all but the earliest are repeated as a whole.
-2. What is left are anchors with several different contexts, edges of repeated passages. Only for these are bytes gathered: contexts of whole
-   anchors form a collection of up to ``COLLECTION`` bytes, cut into shards. Each shard's suffixes are sorted once, giving its Burrows-Wheeler
+2. What is left are anchors with several different contexts, edges of repeated passages. Only for these are bytes gathered. A window holds ``SIDE`` bytes or more
+   on one side of its anchor, so contexts that agree with no other of their anchor in the ``SIDE`` bytes before it or after it share no window and are done. The others, whole
+   anchors of them, form a collection of up to ``COLLECTION`` bytes, cut into shards. Each shard's suffixes are sorted once, giving its Burrows-Wheeler
    transform. The transforms are merged by iterative interleave refinement (Holt and McMillan, 2014): the interleave, which shard each merged row comes from, is
    stably sorted by the rows' preceding symbols; after round h it is right for the first h symbols, and a border that appears between two neighbours in
    round h is a common prefix of h - 1. After LENGTH rounds rows without a border between them are the repeated intervals; suffixes are not sorted again.
@@ -25,6 +26,7 @@ digests and counts are of bytes; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import let_go, materialize, read_table, small_batches, unused
 
 LENGTH, GRAM = 100, 32
+SIDE = (LENGTH - GRAM) // 2
 SEGMENT = 1 << 18
 COLLECTION, SHARD, HOT = 1 << 16, 1 << 14, 1 << 22
 #: Documents whose ids (16 bytes) may be broadcast; beyond, a shuffle join picks them.
@@ -92,11 +95,11 @@ def _segment_contexts(b: np.ndarray) -> tuple[np.ndarray, ...]:
         body = (sums[hi + LENGTH] - sums[lo]) * _table("up")[lo]
         context = _mix(body + (at - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (hi - lo).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
     del value
-    return gram[at], context, lo, hi - lo + 1
+    return gram[at], context, lo, (hi - lo + 1) | (at - lo) << 8
 
 
 def contexts(text: bytes) -> tuple[np.ndarray, ...]:
-    """Anchor hashes, context digests, first windows and numbers of windows. A segment's border splits a context, which costs only a
+    """Anchor hashes, context digests, first windows, and numbers of windows (low byte) with the anchor's place after the first window's start. A segment's border splits a context, which costs only a
     comparison more: contexts of one anchor needn't hold all of its windows."""
     b = np.frombuffer(text, np.uint8)
     windows = len(b) - LENGTH + 1
@@ -269,6 +272,18 @@ def repeated_windows(texts: list[bytes], earlier: np.ndarray, counts: np.ndarray
     return number[again], place[again]
 
 
+def likely(rows: list[tuple]) -> list[tuple]:
+    """Contexts of one anchor that agree with another one in the bytes before or after it, without which they share no window."""
+    sides = []
+    for r in rows:
+        n, at, text = r[4] & 255, r[4] >> 8, r[5]
+        before = text[at - SIDE : at] if at >= SIDE else None
+        after = text[at + GRAM : at + GRAM + SIDE] if n + LENGTH - 1 >= at + GRAM + SIDE else None
+        sides.append((before, after))
+    left, right = (Counter(side[k] for side in sides if side[k] is not None) for k in (0, 1))
+    return [r for r, (before, after) in zip(rows, sides, strict=True) if left[before] > 1 or right[after] > 1]
+
+
 def spans_of(number: np.ndarray, place: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring windows as (text number, from, to) in bytes."""
     order = np.lexsort((place, number))
@@ -289,6 +304,7 @@ def _compare(batches, collection: int = COLLECTION, hot_bytes: int = HOT):
     def solve(rows):
         rows.sort(key=lambda r: r[1:4])
         ids, subs, lo, counts = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4))
+        counts &= 255
         document = np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]) | (subs[1:] != subs[:-1]))))
         # Ranks: documents in order, then starts. A document's starts take less than 2^40.
         number, place = repeated_windows([r[5] for r in rows], (document << 40) + lo, counts)
@@ -299,10 +315,10 @@ def _compare(batches, collection: int = COLLECTION, hot_bytes: int = HOT):
         from xxhash import xxh3_128_digest
 
         for r in rows:
-            text = r[5]
-            d = np.frombuffer(b"".join([xxh3_128_digest(text[k : k + LENGTH]) for k in range(r[4])]), "<i8").reshape(-1, 2)
-            lo = r[3] + np.arange(r[4])
-            yield table(1, np.full(r[4], r[1]), np.full(r[4], r[2]), lo, lo + LENGTH, d[:, 0], d[:, 1])
+            text, n = r[5], r[4] & 255
+            d = np.frombuffer(b"".join([xxh3_128_digest(text[k : k + LENGTH]) for k in range(n)]), "<i8").reshape(-1, 2)
+            lo = r[3] + np.arange(n)
+            yield table(1, np.full(n, r[1]), np.full(n, r[2]), lo, lo + LENGTH, d[:, 0], d[:, 1])
 
     ready, size = [], 0  # whole anchors
     group, group_size, hot = [], 0, False
@@ -310,8 +326,9 @@ def _compare(batches, collection: int = COLLECTION, hot_bytes: int = HOT):
     for batch in batches:
         for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if row[0] != anchor:
+                group = likely(group)
                 ready += group
-                size += group_size
+                size += sum(len(r[5]) + 1 for r in group)
                 if size >= collection:
                     yield solve(ready)
                     ready, size = [], 0
@@ -324,7 +341,7 @@ def _compare(batches, collection: int = COLLECTION, hot_bytes: int = HOT):
             if group_size > hot_bytes:
                 yield from digests(group)
                 group, group_size, hot = [], 0, True
-    ready += group
+    ready += likely(group)
     if ready:
         yield solve(ready)
 
@@ -337,7 +354,7 @@ def _cut_contexts(batches):
         for i, s, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
             text = text or b""
             for w in wanted:
-                part = text[w["lo"] : w["lo"] + w["n"] - 1 + LENGTH]
+                part = text[w["lo"] : w["lo"] + (w["n"] & 255) - 1 + LENGTH]
                 out.append((w["a"], i, s, w["lo"], w["n"], part))
                 size += len(part)
             if size > 4 << 20:
@@ -375,7 +392,7 @@ def repeated_spans(docs: DataFrame, collection: int = COLLECTION, hot_bytes: int
     found = docs.mapInArrow(_find_contexts, "a long, c long, id long, sub long, lo long, n int, whole boolean")
     found = found.repartition("a").sortWithinPartitions("a", "c", "id", "sub", "lo")
     kinds = materialize(found.mapInArrow(_sort_contexts, "a long, id long, sub long, lo long, n int, whole boolean"), "contexts")
-    whole = kinds.where("whole").select("id", "sub", "lo", (F.col("lo") + F.col("n") - 1 + LENGTH).alias("hi"))
+    whole = kinds.where("whole").select("id", "sub", "lo", (F.col("lo") + F.col("n").bitwiseAND(255) - 1 + LENGTH).alias("hi"))
     wanted = kinds.where("NOT whole").groupBy(F.col("id").alias("vg_id"), F.col("sub").alias("vg_sub")).agg(F.collect_list(F.struct("a", "lo", "n")).alias("vg_wanted"))
     wanted = materialize(wanted, "wanted-contexts")
     texts = _with_ids(docs, wanted.select("vg_id", "vg_sub"), "left_semi").join(wanted.hint("shuffle_merge"), ["vg_id", "vg_sub"])
