@@ -186,6 +186,22 @@ def test_suffix_dedup_hard_rows(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_collections_without_repeats(spark):
+    """Contexts that agree beside their anchor and yet share no 100 bytes make a collection without a repeated window."""
+    import random
+
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for i in range(40):
+        shared = letters(95)
+        rows += [(10 * i + k, letters(150) + "01"[k] + shared + "23"[k] + letters(150)) for k in range(2)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 80 and {r["vg_n_removed"] for r in got} == {0}
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in suffix_dedup.spans_of(none, none, np.zeros(2, np.int64))] == [0, 0, 0]
+
+
 def test_merged_transforms_sort_suffixes(monkeypatch):
     import random
 

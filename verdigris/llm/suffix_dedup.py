@@ -285,11 +285,13 @@ def likely(rows: list[tuple]) -> list[tuple]:
 
 
 def spans_of(number: np.ndarray, place: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows as (text number, from, to) in bytes."""
+    """Runs of neighbouring windows as (text number, from, to) in bytes; none where a collection holds no repeated window."""
+    if not len(number):
+        return (np.zeros(0, np.int64),) * 3
     order = np.lexsort((place, number))
     number, place = number[order], place[order]
     start = np.concatenate(([True], (number[1:] != number[:-1]) | (place[1:] != place[:-1] + 1)))
-    stop = np.concatenate((start[1:], [True])) if len(start) else start
+    stop = np.concatenate((start[1:], [True]))
     return number[start], lo[number[start]] + place[start], lo[number[stop]] + place[stop] + LENGTH
 
 
