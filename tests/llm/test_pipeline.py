@@ -1,5 +1,5 @@
 import corpus_pipeline
-from tests.llm.helpers import docs, empty, words
+from tests.llm.helpers import DOCS, docs, empty, words
 from verdigris.llm import bpe, packing
 
 
@@ -34,3 +34,17 @@ def test_pipeline_without_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         seen = stage(spark, seen, "")
         assert seen.count() == 0
+
+
+def test_cutting_texts_without_repeats(spark):
+    """Passages just short of a repeat: suffix dedup has collections without a repeated window and leaves all rows as they are."""
+    import random
+
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for i in range(40):
+        shared = letters(95)
+        rows += [(10 * i + k, letters(150) + "01"[k] + shared + "23"[k] + letters(150), "en", "s", 1, "x", 1, "y", 0.5, "z") for k in range(2)]
+    left = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [r[:2] for r in rows]
