@@ -55,3 +55,20 @@ def test_pipeline_drops_near_copies(spark):
         rows += [(10 * c + k, t, "en", "s", 1, "x", 1, "y", 0.5, "z") for k, t in enumerate((base, edited(rng, base, 4)))]
     left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(r["doc_id"] for r in left.collect()) == [10 * c for c in range(20)]
+
+
+def test_near_copies_come_from_fingerprints_first(spark, monkeypatch):
+    """SimHash names pairs, whole sets decide on them, and the prefix filter adds only links between their groups."""
+    rng = random.Random(5)
+    rows = []
+    for c in range(15):
+        base = words(rng, 400)
+        rows += [(10 * c + k, t) for k, t in enumerate((base, base + " tail", edited(rng, base, 12)))]
+    named, linked = [], []
+    links, components = near_copies.simhash.links, near_copies.components
+    monkeypatch.setattr(near_copies.simhash, "links", lambda reps, *a: named.append(reps.count()) or links(reps, *a))
+    monkeypatch.setattr(near_copies, "components", lambda edges: linked.append(edges.count()) or components(edges))
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["id"], r["component"]) for r in got), key=str) == brute(rows)
+    assert len(named) == 1 and named[0] > 15
+    assert len(linked) == 2 and 10 <= linked[0] < linked[1]

@@ -1,11 +1,14 @@
-"""Near copies by word shingles: all pairs of Jaccard similarity at or above a threshold, found by prefix filtering.
+"""Near copies by word shingles: all pairs of Jaccard similarity at or above a threshold, by SimHash and, for what its fingerprints miss, prefix filtering.
+
+SimHash by Golay-code fuzzy hashing (simhash.py, here over 5-word shingles) comes first: fingerprints within 2 bits name pairs, and those that hold on whole sets link.
+Pairs at the similarity may differ in more bits than Golay keys reach, so a second step looks for links between the groups that these pairs form, and only there.
 
 A text's words (as in simhash.py) give the set of hashes (XXH64, seed 42) of its 5-word shingles; texts link where the Jaccard similarity of their sets is 0.8
 or more. Sets of n shingles that link share at least one of their first n - ceil(0.8 n) + 1 shingles in any order common to all (the prefix
 filter), so no linked pair is missed. The order puts shingles that are frequent in a sample last, which only keeps lists short: the result doesn't depend on it.
 
 Texts of equal sets count as one. Each set has a bitmap of one to two bits a shingle, a bit for the parity of the shingles in its slot; bits that differ between two bitmaps
-are at most as many as the shingles that only one of the sets has, which bounds what they share. Lists of at most ``LIST`` sets are joined pair by pair, and pairs whose sizes and
+are at most as many as the shingles that only one of the sets has, which bounds what they share. Lists whose sets are all in one group are done. Of the others those of at most ``LIST`` sets are joined pair by pair, and pairs of two groups whose sizes and
 bitmaps allow it are verified on whole sets. Longer lists are cut into blocks of at most about ``SETS`` sets, and pairs of blocks compare bitmaps first; only sets with a possible partner in the list
 are compared whole, again in pairs of blocks of about ``BLOCK`` shingles, tasks that count common shingles by matrix products
 and give links enough to connect their groups, never all pairs. So sets travel only for pairs that are (nearly) similar. Nothing is capped; the comparisons of a long list grow with the square of its length.
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, let_go, materialize, release, small_batches
 from .embeddings import forest
 
@@ -38,18 +42,7 @@ BROADCAST_TEXTS = 1_000_000
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxh64_intdigest(joined, 42)], np.uint64).view(np.int64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-shingle] + 1)).tolist()
-    found = {xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)}
-    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+    return np.unique(simhash.shingle_hashes(text, shingle).view(np.int64))
 
 
 def node_of(own: np.ndarray) -> int:
@@ -102,8 +95,9 @@ def classes(bits_a: np.ndarray, bits_b: np.ndarray):
                 yield np.flatnonzero(wide_a == x), np.flatnonzero(wide_b == y), min(x, y)
 
 
-def possible(sizes: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """Which sets (numbers in left and right) may link with another on the other side."""
+def possible(sizes: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float, tops: np.ndarray | None = None) -> np.ndarray:
+    """Which sets (numbers in left and right) may link with one of another group (tops; by default each is its own) on the other side."""
+    tops = np.arange(len(sizes)) if tops is None else tops
     found = np.zeros(len(sizes), bool)
     step = max(1, COLUMNS // 8)
     for a, b, width in classes(bits[left], bits[right]):
@@ -113,7 +107,7 @@ def possible(sizes: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.nd
         for at in range(0, width, step):
             both += np.unpackbits(x[:, at : at + step], axis=1).astype(np.float32) @ np.unpackbits(y[:, at : at + step], axis=1).astype(np.float32).T
         differ = ONES[x].sum(axis=1)[:, None] + ONES[y].sum(axis=1)[None, :] - 2 * both
-        ok = may_link(differ, sizes[a][:, None], sizes[b][None, :], similarity) & (a[:, None] != b[None, :])
+        ok = may_link(differ, sizes[a][:, None], sizes[b][None, :], similarity) & (tops[a][:, None] != tops[b][None, :])
         found[a[ok.any(axis=1)]] = True
         found[b[ok.any(axis=0)]] = True
     return found
@@ -161,14 +155,70 @@ def shingle_links(rows: DataFrame, shingle: int = SHINGLE, similarity: float = S
     def first(batches):
         let_go()
         for batch in batches:
-            own = [shingles(t.as_py(), shingle) for t in batch.column(2).cast(pa.binary())]
+            hashes = [simhash.shingle_hashes(t.as_py(), shingle) for t in batch.column(2).cast(pa.binary())]
+            own = [np.unique(h.view(np.int64)) for h in hashes]
+            fps = pa.array(np.array([simhash.fingerprint(h) for h in hashes], np.uint64).view(np.int64))
             columns = [
                 pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64()),
-                pa.array([prefix(s, similarity, *sent.value) for s in own], pa.list_(pa.int64())), pa.array([bitmap(s) for s in own], pa.binary()),
+                pa.array([prefix(s, similarity, *sent.value) for s in own], pa.list_(pa.int64())), pa.array([bitmap(s) for s in own], pa.binary()), fps,
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "text_hash", "node", "n", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "text_hash", "node", "n", "prefix", "bits", "fp"])
+
+    read = materialize(rows.mapInArrow(first, "id long, text_hash long, node long, n long, prefix array<long>, bits binary, fp long"), "shingle-prefixes")
+    nodes = materialize(read.select("id", "text_hash", "node"), "shingle-nodes")
+    marks = materialize(read.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("bits").alias("bits")), "shingle-bitmaps")
+
+    def allowed(batches):
+        for batch in batches:
+            bits_a, bits_b = (np.array(batch.column(i).to_pylist() + [None], object)[:-1] for i in (4, 5))
+            differ = np.zeros(batch.num_rows, np.int64)
+            wide = [(len(x), len(y)) for x, y in zip(bits_a, bits_b, strict=True)]
+            for x, y in set(wide):
+                at = np.array([w == (x, y) for w in wide])
+                differ[at] = ONES[folded(bits_a[at].tolist(), min(x, y)) ^ folded(bits_b[at].tolist(), min(x, y))].sum(axis=1)
+            n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(may_link(differ, n_a, n_b, similarity)))
+
+    of = lambda table, side: table.withColumnsRenamed({c: f"{c}_{side}" for c in table.columns if c != "node"} | {"node": side})
+
+    def may_be(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b) whose bitmaps allow a link."""
+        known = marks.select("node", "n", "bits")
+        marked = pairs.join(of(known, "a"), "a").join(of(known, "b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+        return materialize(marked.mapInArrow(allowed, "a long, b long"), name)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+    def whole(batches):
+        let_go()
+        for batch in batches:
+            own = [shingles(t.as_py(), shingle) for t in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(node, own): whole sets of the nodes wanted."""
+        wanted = materialize(marks.join(wanted.distinct(), "node", "left_semi").select("text_hash"), "wanted-texts")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+        sets = rows.join(wanted, "text_hash", "left_semi").select("text").mapInArrow(whole, "node long, own array<long>")
+        return materialize(sets.groupBy("node").agg(F.first("own").alias("own")), name)
+
+    def alike_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs (a, b) at or above the similarity."""
+        common = F.size(F.array_intersect("own_a", "own_b"))
+        held = pairs.join(of(sets, "a"), "a").join(of(sets, "b"), "b")
+        return held.where(common >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - common) - 1e-9).select("a", "b")
+
+    # The method first: fingerprints within two bits, found by their Golay keys, and checked on whole sets.
+    reps = materialize(read.where("n > 0").groupBy("fp").agg(F.min("node").alias("rep")), "fingerprints")
+    equal = read.where("n > 0").select("fp", "node").distinct().join(reps, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    named = simhash.links(reps).unionByName(equal).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    named = may_be(named, "fingerprint-pairs")
+    sets = sets_of(ends(named), "fingerprint-sets")
+    near = materialize(alike_pairs(named, sets), "fingerprint-links")
+    release(sets)
+    groups = components(near).select(F.col("id").alias("node"), F.col("component").alias("top"))
 
-    read = materialize(rows.mapInArrow(first, "id long, text_hash long, node long, n long, prefix array<long>, bits binary"), "shingle-prefixes")
     total = read.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = -(-total // PART) or 1
 
@@ -199,27 +249,12 @@ def shingle_links(rows: DataFrame, shingle: int = SHINGLE, similarity: float = S
         return pd.DataFrame({c: x[several] for c, x in columns.items()})
 
     dealt = read.select("node", "n", "prefix").where("n > 0").mapInArrow(deal, "part long, keys array<long>, nodes array<long>, ns array<int>")
-    shared = materialize(dealt.groupBy("part").applyInPandas(meet, "key long, node long, n long, size long, total long"), "shingle-lists")
-    nodes = materialize(read.select("id", "text_hash", "node"), "shingle-nodes")
-    marks = materialize(read.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("bits").alias("bits")), "shingle-bitmaps")
-    few = shared.where(F.col("size") <= LIST).select("key", "node", "n")
-    near = F.expr(f"x.key = y.key AND x.node < y.node AND least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) - 1e-9")
-    pairs = few.alias("x").join(few.alias("y"), near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-    def allowed(batches):
-        for batch in batches:
-            bits_a, bits_b = (np.array(batch.column(i).to_pylist() + [None], object)[:-1] for i in (4, 5))
-            differ = np.zeros(batch.num_rows, np.int64)
-            wide = [(len(x), len(y)) for x, y in zip(bits_a, bits_b, strict=True)]
-            for x, y in set(wide):
-                at = np.array([w == (x, y) for w in wide])
-                differ[at] = ONES[folded(bits_a[at].tolist(), min(x, y)) ^ folded(bits_b[at].tolist(), min(x, y))].sum(axis=1)
-            n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(may_link(differ, n_a, n_b, similarity)))
-
-    of = lambda side: marks.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    marked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    pairs = materialize(marked.mapInArrow(allowed, "a long, b long"), "possible-pairs")
+    shared = dealt.groupBy("part").applyInPandas(meet, "key long, node long, n long, size long, total long").join(groups, "node", "left")
+    shared = materialize(shared.withColumn("top", F.coalesce("top", "node")), "shingle-lists")
+    few = shared.where(F.col("size") <= LIST).select("key", "node", "n", "top")
+    apart = F.expr(f"x.key = y.key AND x.node < y.node AND x.top <> y.top AND least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) - 1e-9")
+    pairs = few.alias("x").join(few.alias("y"), apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = may_be(pairs, "possible-pairs")
 
     def blocked(rows: DataFrame, blocks) -> DataFrame:
         """rows (key, node, ...) with the pairs of blocks that a node's own block is part of."""
@@ -232,28 +267,16 @@ def shingle_links(rows: DataFrame, shingle: int = SHINGLE, similarity: float = S
         return np.flatnonzero(block == int(key[1])), np.flatnonzero(block == int(key[2]))
 
     def partners(key, pdf):
-        found = possible(pdf["n"].to_numpy(), pdf["bits"].to_numpy(), *sides(key, pdf), similarity)
+        found = possible(pdf["n"].to_numpy(), pdf["bits"].to_numpy(), *sides(key, pdf), similarity, pdf["top"].to_numpy())
         return pdf.loc[found, ["key", "node", "n"]]
 
-    many = shared.where(F.col("size") > LIST).select("key", "node").join(marks.select("node", "n", "bits"), "node")
+    several = shared.where(F.col("size") > LIST).groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("key")
+    many = shared.where(F.col("size") > LIST).join(several, "key", "left_semi").select("key", "node", "top").join(marks.select("node", "n", "bits"), "node")
     many = blocked(many, F.count("*") / F.lit(SETS)).groupBy("key", "i", "j").applyInPandas(partners, "key long, node long, n long").distinct()
     many = materialize(many, "long-lists")
     release(shared, read)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
-    wanted = materialize(marks.join(wanted, "node", "left_semi").select("text_hash"), "wanted-texts")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
-
-    def whole(batches):
-        let_go()
-        for batch in batches:
-            own = [shingles(t.as_py(), shingle) for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
-
-    sets = rows.join(wanted, "text_hash", "left_semi").select("text").mapInArrow(whole, "node long, own array<long>")
-    sets = materialize(sets.groupBy("node").agg(F.first("own").alias("own")), "shingle-sets")
-    of_set = lambda side: sets.select(F.col("node").alias(side), F.col("own").alias(f"{side}_own"))
-    common = F.size(F.array_intersect("a_own", "b_own"))
-    found = pairs.join(of_set("a"), "a").join(of_set("b"), "b").where(common >= F.lit(similarity) * (F.size("a_own") + F.size("b_own") - common) - 1e-9).select("a", "b")
+    sets = sets_of(ends(pairs).unionByName(many.select("node")), "shingle-sets")
+    found = alike_pairs(pairs, sets)
     tasks = blocked(many, F.greatest(F.sum("n") / F.lit(BLOCK), F.count("*") / F.lit(SETS))).join(sets, "node")
 
     def compare(key, pdf):
@@ -263,7 +286,7 @@ def shingle_links(rows: DataFrame, shingle: int = SHINGLE, similarity: float = S
         tied = forest(ids[a], ids[b])
         return pd.DataFrame({"a": np.array([t[0] for t in tied], np.int64), "b": np.array([t[1] for t in tied], np.int64)})
 
-    return nodes, found.unionByName(tasks.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
+    return nodes, near.unionByName(found).unionByName(tasks.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

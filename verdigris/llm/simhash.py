@@ -38,26 +38,34 @@ BUCKET = 16
 LINKED = 2
 
 
-def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
+def shingle_hashes(text: bytes | None, shingle: int = 3) -> np.ndarray:
+    """Hashes of the word shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: -shingle] + 1)).tolist()
-        hashes = [xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[: -shingle] + 1)).tolist()
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Bits that more than half of the hashes set."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+        part = hashes[at : at + (1 << 16)].astype("<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    return fingerprint(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, text_hash, fp): fp is the fingerprint's 64 bits as a signed long."""
     small_batches(docs.sparkSession)
