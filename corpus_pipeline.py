@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import exact_dedup, language, near_copies, packing, suffix_dedup
-from verdigris.llm.common import materialize, read_table, unused
+from verdigris.llm.common import collect_garbage, materialize, read_table, unused
 
 #: Dropped rows whose keys (16 bytes) may be broadcast; beyond, a shuffle join drops them.
 BROADCAST_ROWS = 200_000
@@ -28,12 +28,14 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is accepted."""
+    collect_garbage(spark)
     found = materialize(language.language_id(docs), "languages")
     return without(docs, found.where("NOT accepted"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each text."""
+    collect_garbage(spark)
     found = materialize(exact_dedup.exact_dedup(docs), "copies")
     left = without(docs, found.where("NOT kept"))
     # Only rows whose id repeats with the same text are regrouped; all others pass without a shuffle.
@@ -51,6 +53,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (5-word shingles, similarity 0.8 or more), that of the smallest id."""
+    collect_garbage(spark)
     found = materialize(near_copies.near_copies(docs), "near-copies")
     first = found.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("first")).where("component IS NOT NULL")
     same = found.where("id <=> component").groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
@@ -62,6 +65,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that appeared before out of the texts."""
+    collect_garbage(spark)
     (prefix,) = unused(docs, "cut")
     out = suffix_dedup.remove_repeats(docs, prefix=f"{prefix}_")
     if "n_chars" in docs.columns:
@@ -72,6 +76,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences: one row per piece."""
+    collect_garbage(spark)
     return packing.best_fit_pack(docs).withColumnRenamed("id", "doc_id")
 
 

@@ -1,6 +1,6 @@
 import corpus_pipeline
 from tests.llm.helpers import DOCS, docs, empty, words
-from verdigris.llm import bpe, packing
+from verdigris.llm import bpe, common, packing
 
 
 def test_pipeline(spark, tmp_path):
@@ -48,3 +48,16 @@ def test_cutting_texts_without_repeats(spark):
         rows += [(10 * i + k, letters(150) + "01"[k] + shared + "23"[k] + letters(150), "en", "s", 1, "x", 1, "y", 0.5, "z") for k in range(2)]
     left = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [r[:2] for r in rows]
+
+
+def test_stages_let_executors_collect_garbage(spark, monkeypatch):
+    """Each stage asks first, and the request reaches the JVM that runs tasks (here the session's own)."""
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+    before = beans()
+    common.collect_garbage(spark)
+    assert beans() > before
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "collect_garbage", asked.append)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, empty(spark), "")
+    assert asked == [spark] * 5

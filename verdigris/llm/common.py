@@ -64,13 +64,21 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets the executors' JVMs collect garbage. What earlier steps made them take, heap and buffers outside it, otherwise stays with them for good, beside what
+    Python workers need. Each free core gets a task; executors that get none keep their garbage."""
+    tasks = spark.range(0, cores(spark), 1, cores(spark)).select(F.expr("java_method('java.lang.System', 'gc')"))
+    tasks.write.format("noop").mode("overwrite").save()
+
+
 def release(*tables: DataFrame) -> None:
-    """Removes materialised tables that nothing reads any more, and lets the driver's cleaner drop the shuffle files of steps that are done."""
+    """Removes materialised tables that nothing reads any more, lets the driver's cleaner drop the shuffle files of steps that are done, and executors their garbage."""
     for df in tables:
         path = _PATHS.pop(df, None)
         if path:
             remove(df.sparkSession, path)
     tables[0].sparkSession.sparkContext._jvm.System.gc()
+    collect_garbage(tables[0].sparkSession)
 
 
 @atexit.register
